@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broodline.functions.numeric import or_zero, used_flag
+from broodline.functions.numeric import used_flag
 
 
 def ratio_of_sums(numerator: Column | str, denominator: Column | str) -> Column:
@@ -35,9 +34,7 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str) -> D
     )
 
 
-def family_columns(
-    columns: Iterable[str], days: Iterable[int], phases: Sequence[str] = ()
-) -> dict[str, list[str]]:
+def family_columns(columns: Iterable[str], days: Iterable[int]) -> dict[str, list[str]]:
     """Group ``{brand}_{day}`` and ``{phase}_{brand}_{day}`` columns by family.
 
     Names are parsed whole, so a brand whose name is part of another one does not
@@ -58,17 +55,21 @@ def brand_families(families: Mapping[str, list[str]], phases: Sequence[str]) ->
     return [family for family in families if not heads or not family.startswith(heads)]
 
 
+def row_sum(names: Iterable[str]) -> Column:
+    """Row-wise sum of the columns, NULL cells counting as 0.
+
+    Built as one SQL text: wide tables have hundreds of such columns.
+    """
+    return F.expr(" + ".join(f"coalesce(`{name}`, 0)" for name in names))
+
+
 def row_sums(families: Mapping[str, list[str]]) -> dict[str, Column]:
-    """Row-wise sum of every family, NULL cells counting as 0."""
-    return {
-        family: reduce(lambda a, b: a + b, [or_zero(F.col(f"`{name}`")) for name in names])
-        for family, names in families.items()
-    }
+    return {family: row_sum(names) for family, names in families.items()}
 
 
 def used_families(families: Mapping[str, list[str]]) -> Column:
     """Array of the family names whose row sum counts as used."""
     flags = [
-        F.when(used_flag(total) == 1, F.lit(family)) for family, total in row_sums(families).items()
+        F.when(used_flag(row_sum(names)) == 1, F.lit(family)) for family, names in families.items()
     ]
     return F.array_compact(F.array(*flags))

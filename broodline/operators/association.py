@@ -1,11 +1,11 @@
 """Correlation of category indicators with an outcome per calendar bucket.
 
 For a 0/1 indicator Pearson's r needs only counts and means,
-``r = (mean of members - mean of all) / sd * sqrt(p / (1 - p))``, so one
-aggregation over (bucket, feature) replaces an indicator matrix per bucket. Each
-row is counted once per feature it has and once, under a NULL feature, for its
-bucket's totals; the map side folds that to one row per (bucket, feature) per
-task, so a feature or bucket holding most rows does not load a single reducer.
+``r = (mean of members - mean of all) / sd * sqrt(p / (1 - p))``, so the indicator
+matrix is never built. Rows are folded on the map side to cells, one per bucket
+and combination of category values, and to one total per bucket; features are
+derived from the cells. A bucket or category holding most rows costs a reducer no
+more than any other.
 """
 
 from __future__ import annotations
@@ -22,32 +22,41 @@ BUCKET = ["year", "month", "week_of_month"]
 
 def indicator_correlation(
     rows: DataFrame,
+    cell: Sequence[str],
     features: Column,
-    outcome: Column | str,
+    outcome: str,
     bucket: Sequence[str] = BUCKET,
     digits: int = 3,
 ) -> DataFrame:
     """``(bucket.., feature, n, n_feature, r)``; r is NULL where it is undefined.
 
-    ``features`` is an array column naming the indicators that are 1 on the row.
-    Rows without an outcome take no part. r is undefined for a bucket of one row,
-    a constant outcome, or a feature all rows of the bucket have.
+    ``features`` is an array naming the indicators that are 1, computed from the
+    ``cell`` columns. Rows without an outcome take no part. r is undefined for a
+    bucket of one row, a constant outcome, or a feature all rows of the bucket
+    have.
     """
-    y = (F.col(outcome) if isinstance(outcome, str) else outcome).cast("double")
-    keys = list(bucket)
-    stats = (
-        rows.select(*keys, y.alias("y"), features.alias("features"))
-        .where(F.col("y").isNotNull())
-        .select(
-            *keys,
-            "y",
-            F.explode(F.array_append(F.array_compact("features"), F.lit(None).cast("string"))).alias("feature"),
+    keys, cell = list(bucket), list(cell)
+    outcomes = rows.select(*keys, *cell, F.col(outcome).cast("double").alias("y"))
+    folded = (
+        outcomes.where(F.col("y").isNotNull())
+        .groupingSets([[*keys, *cell], keys], *keys, *cell)
+        .agg(
+            F.grouping(cell[0]).alias("is_total"),
+            F.count("y").alias("cell_n"),
+            F.avg("y").alias("cell_mean"),
+            F.var_pop("y").alias("cell_variance"),
         )
+    )
+    total_only = F.array(F.lit(None).cast("string"))
+    named = F.when(F.col("is_total") == 1, total_only).otherwise(F.array_compact(features))
+    weighted = F.sum(F.col("cell_n") * F.col("cell_mean"))
+    per_feature = (
+        folded.withColumn("feature", F.explode(named))
         .groupBy(*keys, "feature")
         .agg(
-            F.count("y").alias("n_feature"),
-            F.avg("y").alias("mean_feature"),
-            F.var_pop("y").alias("variance"),
+            F.sum("cell_n").alias("n_feature"),
+            (weighted / F.sum("cell_n")).alias("mean_feature"),
+            F.max("cell_variance").alias("variance"),
         )
     )
     in_bucket = Window.partitionBy(*keys)
@@ -60,8 +69,9 @@ def indicator_correlation(
     r = (F.col("mean_feature") - F.col("mean_all")) * F.sqrt(
         F.try_divide(share, (1 - share) * F.col("spread"))
     )
+    # Adding 0.0 turns a rounded -0.0 into 0.0.
     return (
-        stats.withColumns(
+        per_feature.withColumns(
             {"n": total("n_feature"), "mean_all": total("mean_feature"), "spread": total("variance")}
         )
         .where(F.col("feature").isNotNull())

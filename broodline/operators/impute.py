@@ -19,60 +19,46 @@ def mode_value(df: DataFrame, column: str) -> Column:
     )
 
 
-def exact_median(df: DataFrame, column: str, accuracy: int = 1000, slots: int = 4096) -> Column:
+def exact_median(df: DataFrame, column: str, resolution: int = 10_000) -> Column:
     """Interpolated median as a scalar subquery, with no task holding all values.
 
-    Two narrowing steps precede the exact one. A quantile sketch yields bounds
-    that must enclose the median (its rank error is at most ``1 / accuracy``);
-    values between the bounds are counted per distinct value, then per equal-width
-    slot; only the slots that hold the middle ranks are ordered. The bounds only
-    decide how little is ordered, never the result.
+    Values fall into slots by a fixed increasing function, about ``1 / resolution``
+    of their size wide. Counting per slot is a map-side aggregation; the running
+    count over the slots tells which one or two hold the middle ranks, and only
+    their distinct values are ordered. Slots decide how much is ordered, never
+    the result.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    margin = 2.0 / accuracy
-    bounds = F.percentile_approx(
-        "v", [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], accuracy
-    )
-    scan = values.agg(
-        F.struct(
-            F.count("v").alias("n"),
-            bounds.getItem(0).alias("lo"),
-            bounds.getItem(1).alias("hi"),
-        ).alias("s")
-    ).scalar()
-    middle = [F.floor((scan["n"] + 1) / 2), F.floor(scan["n"] / 2) + 1]
+    value = F.col("v")
+    slot = F.floor(F.signum(value) * F.log1p(F.abs(value)) * resolution)
+    values = df.select(F.col(column).cast("double").alias("v")).where(value.isNotNull())
+    values = values.withColumn("slot", slot)
 
-    # Distinct values inside the bounds with their counts; one NULL row stands
-    # for everything below them.
-    counted = (
-        values.where(F.col("v") <= scan["hi"])
-        .groupBy(F.when(F.col("v") >= scan["lo"], F.col("v")).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    width = (scan["hi"] - scan["lo"]) / slots
-    slot = F.when(F.col("v").isNull(), -1).otherwise(
-        F.coalesce(F.floor(F.try_divide(F.col("v") - scan["lo"], width)), F.lit(0))
+    running = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    everything = Window.orderBy("slot").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
     )
-    counted = counted.withColumn("slot", slot)
-    ordered_slots = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    slots_used = (
-        counted.groupBy("slot")
-        .agg(F.sum("n").alias("n"))
-        .withColumn("upto", F.sum("n").over(ordered_slots))
-        .where((F.col("upto") >= middle[0]) & (F.col("upto") - F.col("n") < middle[1]))
+    middle = [F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1]
+    chosen = (
+        values.groupBy("slot")
+        .agg(F.count(F.lit(1)).alias("held"))
+        .withColumns({"upto": F.sum("held").over(running), "n": F.sum("held").over(everything)})
+        .where((F.col("upto") >= middle[0]) & (F.col("upto") - F.col("held") < middle[1]))
+        .select("slot", (F.col("upto") - F.col("held")).alias("before"), "n")
     )
-    chosen = slots_used.agg(
-        F.struct(
-            F.min("slot").alias("first"),
-            F.max("slot").alias("last"),
-            F.min(F.col("upto") - F.col("n")).alias("before"),
-        ).alias("c")
-    ).scalar()
-    ordered = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.where(F.col("slot").between(chosen["first"], chosen["last"])).withColumn(
-        "upto", chosen["before"] + F.sum("n").over(ordered)
+    # Two neighbouring ranks lie in at most two slots, so at most two rows are broadcast.
+    ranked = (
+        values.join(F.broadcast(chosen), "slot")
+        .groupBy("slot", "before", "n", "v")
+        .agg(F.count(F.lit(1)).alias("times"))
+        .withColumn(
+            "upto",
+            F.col("before")
+            + F.sum("times").over(
+                Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+            ),
+        )
     )
-    low, high = [F.min(F.when(F.col("upto") >= rank, F.col("v"))) for rank in middle]
+    low, high = [F.min(F.when(F.col("upto") >= rank, value)) for rank in middle]
     return ranked.agg(((low + high) / 2).alias("median")).scalar()
 
 

@@ -73,16 +73,17 @@ def skew_joined(
     one tile. Meant for joins whose caller filters the pairs in the same stage.
     """
     keys = list(keys)
-    size_l = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n_l"))
-    size_r = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n_r"))
-    hot = (
-        size_l.join(size_r, keys)
-        .where((F.col("__n_l") > block) | (F.col("__n_r") > block))
-        .select(
-            *keys,
-            F.ceil(F.col("__n_l") / block).cast("int").alias("__cut_l"),
-            F.ceil(F.col("__n_r") / block).cast("int").alias("__cut_r"),
-        )
+    one, none = F.lit(1).alias("n_l"), F.lit(0).alias("n_r")
+    sizes = left.select(*keys, one, none).unionByName(
+        right.select(*keys, none.alias("n_l"), one.alias("n_r"))
+    )
+    sizes = sizes.groupBy(*keys).agg(F.sum("n_l").alias("n_l"), F.sum("n_r").alias("n_r"))
+    hot = sizes.where(
+        ((F.col("n_l") > block) | (F.col("n_r") > block)) & (F.col("n_l") > 0) & (F.col("n_r") > 0)
+    ).select(
+        *keys,
+        F.ceil(F.col("n_l") / block).cast("int").alias("__cut_l"),
+        F.ceil(F.col("n_r") / block).cast("int").alias("__cut_r"),
     )
 
     def tiled(side: DataFrame, mine: str, theirs: str, own: str, other: str) -> DataFrame:

@@ -10,7 +10,7 @@ and keeps wide or unique columns (whole texts, ids) out of the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +35,8 @@ def duplicate_rows(df: DataFrame, digest: bool = False) -> DataFrame:
     the SHA-256 of the row instead of the row, for tables whose rows are too wide
     to shuffle.
     """
-    if digest:
-        row = F.to_json(F.struct(*[_column(c) for c in df.columns]), {"ignoreNullFields": "false"})
-        groups = df.groupBy(F.sha2(row, 256).alias("__row"))
-    else:
-        groups = df.groupBy(*[_column(c) for c in df.columns])
+    columns = [F.sha2(_row_text(df), 256)] if digest else [_column(c) for c in df.columns]
+    groups = df.groupBy(*columns)
     return (
         groups.agg(F.count(F.lit(1)).alias("__n"))
         .agg(
@@ -69,54 +66,53 @@ def null_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def small_domains(df: DataFrame, columns: Sequence[str], below: int) -> DataFrame:
-    """``(column, n_distinct, values)`` of columns with fewer than ``below`` values.
+def small_domains(df: DataFrame, below: Mapping[str, int]) -> DataFrame:
+    """``(column, n_distinct, values)`` of columns with fewer distinct values than given.
 
     NULL is not a value. ``values`` is the ascending list joined by ``', '``.
     """
-    if not columns:
+    if not below:
         return df.sparkSession.createDataFrame(
             [], "column string, n_distinct bigint, values string"
         )
-    estimates = F.array(
-        *[
-            F.when(F.approx_count_distinct(_column(name)) < 2 * below + 8, F.lit(name))
-            for name in columns
-        ]
-    )
-    candidates = df.agg(F.array_compact(estimates).alias("c")).scalar()
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("column"),
-                F.when(F.array_contains(candidates, F.lit(name)), _column(name).cast("string"))
-                .alias("value"),
-            )
-            for name in columns
-        ]
-    )
+    estimates = [
+        F.when(F.approx_count_distinct(_column(name)) < 2 * limit + 8, F.lit(name))
+        for name, limit in below.items()
+    ]
+    candidates = df.agg(F.array_compact(F.array(*estimates)).alias("c")).scalar()
+    cells = [
+        F.struct(
+            F.lit(name).alias("column"),
+            F.lit(limit).alias("below"),
+            F.when(F.array_contains(candidates, F.lit(name)), _column(name).cast("string")).alias(
+                "value"
+            ),
+        )
+        for name, limit in below.items()
+    ]
     return (
-        df.select(F.inline(cells))
+        df.select(F.inline(F.array(*cells)))
         .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
+        .groupBy("column", "below", "value")
         .count()
-        .groupBy("column")
+        .groupBy("column", "below")
         .agg(
             F.count("value").alias("n_distinct"),
             F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("values"),
         )
-        .where(F.col("n_distinct") < below)
+        .where(F.col("n_distinct") < F.col("below"))
+        .drop("below")
     )
 
 
 def low_cardinality(df: DataFrame, below: int = SMALL_DOMAIN) -> DataFrame:
     """Text columns with a small domain and their values."""
-    return small_domains(df, text_columns(df), below)
+    return small_domains(df, dict.fromkeys(text_columns(df), below))
 
 
 def boolean_candidates(df: DataFrame) -> DataFrame:
     """Numeric columns with exactly two distinct values."""
-    return small_domains(df, numeric_columns(df), 3).where(F.col("n_distinct") == 2)
+    return small_domains(df, dict.fromkeys(numeric_columns(df), 3)).where(F.col("n_distinct") == 2)
 
 
 def profile(df: DataFrame, digest: bool = True) -> DataFrame:
@@ -140,26 +136,32 @@ def profile(df: DataFrame, digest: bool = True) -> DataFrame:
             )
         )
     )
-    listed = [
-        found.select(
+    texts, numbers = text_columns(df), numeric_columns(df)
+    limits = dict.fromkeys(texts, SMALL_DOMAIN) | dict.fromkeys(numbers, 3)
+    is_text = column.isin(texts)
+    section = F.when(is_text, "low_cardinality").otherwise("boolean_candidates")
+    listed = (
+        small_domains(df, limits)
+        .where(is_text | (F.col("n_distinct") == 2))
+        .select(
             F.inline(
                 F.array(_fact(section, "n_distinct", F.col("n_distinct"), column, F.col("values")))
             )
         )
-        for section, found in (
-            ("low_cardinality", low_cardinality(df)),
-            ("boolean_candidates", boolean_candidates(df)),
-        )
-    ]
-    return whole.unionByName(nulls).unionByName(listed[0]).unionByName(listed[1])
+    )
+    return whole.unionByName(nulls).unionByName(listed)
 
 
 def _fact(
-    section: str, metric: str, value: Column, column: Column | None = None, listing: Column | None = None
+    section: str | Column,
+    metric: str,
+    value: Column,
+    column: Column | None = None,
+    listing: Column | None = None,
 ) -> Column:
     nothing = F.lit(None).cast("string")
     return F.struct(
-        F.lit(section).alias("section"),
+        (F.lit(section) if isinstance(section, str) else section).alias("section"),
         (nothing if column is None else column).alias("column"),
         F.lit(metric).alias("metric"),
         value.cast("double").alias("value"),
@@ -167,6 +169,22 @@ def _fact(
     )
 
 
+def _row_text(df: DataFrame) -> Column:
+    """The row as text that differs whenever any value (or NULL) differs."""
+    parts = []
+    for f in df.schema:
+        value = _column(f.name)
+        if isinstance(f.dataType, T.BinaryType):
+            text = F.hex(value)
+        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            text = F.to_json(value, {"ignoreNullFields": "false"})
+        else:
+            text = value.cast("string")
+        marked = F.concat(F.length(text).cast("string"), F.lit(":"), text)
+        parts.append(F.coalesce(marked, F.lit("-")))
+    return F.concat(*parts)
+
+
 def _share(part: str, whole: str, digits: int) -> Column:
     return F.round(F.try_divide(F.col(part), F.col(whole)) * 100, digits)
 

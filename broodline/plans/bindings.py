@@ -13,6 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from broodline.operators.aggregate import row_sum
 from broodline.sources.tables import read_table
 
 MONEY = "decimal(18,2)"
@@ -166,36 +167,39 @@ def wide_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per cycle with ``{brand}_{day}`` and ``{phase}_{brand}_{day}`` counts."""
     day = F.col("ts").cast("date")
     hour = F.hour("ts")
-    rows = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("unit"),
-        F.trunc(day, "WEEK").alias("cycle_start"),
-        (F.weekday(day) + 1).alias("day"),
-        F.when(hour < 8, "p1").when(hour < 16, "p2").otherwise("p3").alias("phase"),
-        F.col("event_type").alias("brand"),
-        F.col("value").cast(MONEY).alias("value"),
-    )
-    cells = rows.groupBy("unit", "cycle_start", "brand", "day", "phase").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")
+    phase = F.when(hour < 8, "p1").when(hour < 16, "p2").otherwise("p3")
+    brand_day = F.concat("event_type", F.lit("_"), F.weekday(day) + 1)
+    cents = (F.col("value").cast(MONEY) * 100).cast("long")
+
+    def entry(name, amount):
+        return F.struct(name.alias("name"), amount.alias("amount"))
+
+    one = F.lit(1).cast("long")
+    entries = F.array(
+        entry(brand_day, one),
+        entry(F.concat(phase, F.lit("_"), brand_day), one),
+        entry(F.lit("cents"), cents),
+    )
+    names = [f"{b}_{d}" for b in FEED_BRANDS for d in FEED_DAYS]
+    names += [f"{p}_{name}" for p in FEED_PHASES for name in names]
+    wide = (
+        table(spark, sf_dir, "events")
+        .select(
+            F.col("user_id").alias("unit"),
+            F.trunc(day, "WEEK").alias("cycle_start"),
+            F.inline(entries),
+        )
+        .groupBy("unit", "cycle_start")
+        .pivot("name", [*names, "cents"])
+        .agg(F.sum("amount"))
     )
-
-    def total(condition, name):
-        return F.sum(F.when(condition, F.col("n")).otherwise(0)).alias(name)
-
-    brand_is = {b: F.col("brand") == b for b in FEED_BRANDS}
-    wide = [
-        total(brand_is[b] & (F.col("day") == d), f"{b}_{d}") for b in FEED_BRANDS for d in FEED_DAYS
-    ] + [
-        total(brand_is[b] & (F.col("day") == d) & (F.col("phase") == p), f"{p}_{b}_{d}")
-        for p in FEED_PHASES
+    per_brand = [
+        F.struct(row_sum([f"{b}_{d}" for d in FEED_DAYS]), F.lit(b).alias("brand"))
         for b in FEED_BRANDS
-        for d in FEED_DAYS
     ]
-    most = F.array_max(
-        F.array(*[F.struct(F.sum(F.when(brand_is[b], F.col("n")).otherwise(0)), F.lit(b)) for b in FEED_BRANDS])
-    )
-    return cells.groupBy("unit", "cycle_start").agg(
-        F.sum("value").cast("double").alias("outcome"), most["col2"].alias("top_feed"), *wide
-    )
+    return wide.withColumns(
+        {"outcome": F.col("cents") / 100, "top_feed": F.array_max(F.array(*per_brand))["brand"]}
+    ).drop("cents")
 
 
 def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from broodline.functions.calendar import calendar_parts
 from broodline.functions.numeric import percent, price_band
@@ -31,7 +32,7 @@ def brand_and_place(
     A fractional outcome (mortality) is turned into percent and rows above 100
     are left out.
     """
-    y = to_number(outcome)
+    y = _numeric(df, outcome)
     rows = df.select(
         to_day(day).alias("day"),
         recode(brand, brand_recodes).alias("brand"),
@@ -42,7 +43,8 @@ def brand_and_place(
         rows = rows.where(F.col("y") <= 100)
     rows = rows.dropna(subset=["brand", "place", "day"])
     features = F.array("brand", compound("brand", "place", "__"))
-    return indicator_correlation(rows.withColumns(calendar_parts("day", year_mode)), features, "y")
+    dated = rows.withColumns(calendar_parts("day", year_mode))
+    return indicator_correlation(dated, ["brand", "place"], features, "y")
 
 
 def brand_and_price(
@@ -61,12 +63,13 @@ def brand_and_price(
     rows = df.select(
         to_day(day).alias("day"),
         recode(brand, brand_recodes).alias("brand"),
-        F.col(price).cast("double").alias("price"),
-        F.col(outcome).cast("double").alias("y"),
+        _numeric(df, price).alias("price"),
+        _numeric(df, outcome).alias("y"),
     ).dropna(subset=["brand", "day"])
-    banded = price_band(fill_missing("price", exact_median(rows, "price")))
-    features = F.array(compound("brand", banded, "_"))
-    return indicator_correlation(rows.withColumns(calendar_parts("day", year_mode)), features, "y")
+    band = price_band(fill_missing("price", exact_median(rows, "price")))
+    dated = rows.withColumns({"band": band, **calendar_parts("day", year_mode)})
+    features = F.array(compound("brand", "band", "_"))
+    return indicator_correlation(dated, ["brand", "band"], features, "y")
 
 
 def feed_brands(
@@ -84,26 +87,33 @@ def feed_brands(
     A brand counts as used when the sum of its daily columns does. Only brands
     that are some row's ``top_brand`` are reported.
     """
-    families = family_columns(df.columns, days, phases)
+    families = family_columns(df.columns, days)
     brands = brand_families(families, phases)
     rows = (
         df.withColumns(
             {
                 "__day": to_day(day),
                 "__top": recode(top_brand, brand_recodes),
-                "__y": to_number(outcome),
+                "__y": _numeric(df, outcome),
             }
         )
         .dropna(subset=["__day", "__top", "__y"])
-        .withColumns(calendar_parts("__day", year_mode))
+        .withColumns({"__used": used_families(families), **calendar_parts("__day", year_mode)})
     )
-    found = indicator_correlation(rows, used_families(families), "__y")
+    found = indicator_correlation(rows, ["__used"], F.col("__used"), "__y")
     leading = rows.select(F.col("__top").alias("leader")).distinct()
     names = {family: _brand_of(family, brands, phases) for family in families}
     brand = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("feature")]
     return found.join(leading, brand == F.col("leader"), "left_semi")
 
 
+def _numeric(df: DataFrame, name: str) -> Column:
+    """The column as a double; text that is no number becomes NULL."""
+    if isinstance(df.schema[name].dataType, NumericType):
+        return F.col(name).cast("double")
+    return to_number(name)
+
+
 def _brand_of(family: str, brands: Sequence[str], phases: Sequence[str]) -> str:
     if family in brands:
         return family
