@@ -27,7 +27,7 @@ def iso_year(day: Column | str) -> Column:
 
 
 def month_abbreviation(day: Column | str) -> Column:
-    return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), F.month(as_column(day)))
+    return F.substr(F.lit("".join(MONTHS)), F.month(as_column(day)) * 3 - 2, F.lit(3))
 
 
 def calendar_parts(day: Column | str, year_mode: str = "iso") -> dict[str, Column]:

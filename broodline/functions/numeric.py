@@ -43,15 +43,14 @@ def age_band(age: Column | str) -> Column:
 
 
 def price_band(price: Column | str) -> Column:
-    """Price band by 2000-wide steps; only the 12000 edge belongs to the lower band."""
+    """Price band; bands are 2000 wide and only the 12000 edge belongs to the lower one."""
     amount = as_column(price)
-    step = (
-        F.when(amount < 2000, 0)
-        .when(amount > 12000, 6)
-        .when(amount >= 10000, 5)
-        .when(amount >= 2000, F.floor(amount / 2000).cast("int"))
+    band = F.when(amount < 2000, F.lit(PRICE_BANDS[0]))
+    for step, label in enumerate(PRICE_BANDS[1:5], start=2):
+        band = band.when(amount < 2000 * step, F.lit(label))
+    return band.when(amount <= 12000, F.lit(PRICE_BANDS[5])).when(
+        amount > 12000, F.lit(PRICE_BANDS[6])
     )
-    return F.element_at(F.array(*[F.lit(label) for label in PRICE_BANDS]), step + 1)
 
 
 def used_flag(amount: Column | str) -> Column:
