@@ -24,12 +24,17 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def canonicalize(name: Column | str, rules: ReplaceRules, strip: str = " ") -> Column:
+def canonicalize(
+    name: Column | str, rules: ReplaceRules, strip: str = " ", whole_value: bool = False
+) -> Column:
     """Run substring replacements in the given order, then trim both ends.
 
     Order is part of the contract: a later rule sees the text an earlier one
     produced, and a rule whose output contains its own input is not idempotent.
+    ``whole_value`` replaces complete names only, which leaves clean names alone.
     """
+    if whole_value:
+        return F.btrim(recode(name, rules), F.lit(strip))
     replaced = reduce(
         lambda text, rule: F.replace(text, F.lit(rule[0]), F.lit(rule[1])),
         rules,

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broodline.functions.calendar import bucket_headings, bucket_label
+from broodline.functions.text import Recodes, recode
 
 BUCKET = ["year", "month", "week_of_month"]
 
@@ -85,12 +86,13 @@ def correlation_report(
     max_week: int = 5,
     skip_buckets: int = 0,
     descending: bool = True,
+    label_map: Recodes = (),
 ) -> DataFrame:
     """One row per feature, one column per calendar bucket of the given years.
 
     The headings follow from the parameters, so the pivot needs no job to find
     its values. Features without any bucket in the grid are left out, buckets
-    without a value are NULL.
+    without a value are NULL. ``label_map`` renames features for the reader.
     """
     headings = bucket_headings(list(years), max_week, skip_buckets)
     labelled = correlations.select(
@@ -98,4 +100,4 @@ def correlation_report(
     ).where(F.col("year").isin(list(years)) & (F.col("week_of_month") <= max_week))
     wide = labelled.groupBy("feature").pivot("heading", headings).agg(F.first("r", ignorenulls=True))
     order = F.col("feature").desc() if descending else F.col("feature").asc()
-    return wide.orderBy(order)
+    return wide.orderBy(order).withColumn("feature", recode("feature", label_map))

@@ -523,7 +523,7 @@ ORACLES: dict[str, str] = {
     "running_sum": f"""WITH {CYCLE_METRICS}
         SELECT unit, cycle_start, age, catch_age_cum FROM cycle_metrics""",
     "running_sum_with_ties": f"""WITH {SALES}
-        SELECT unit, sale_date, kg,
+        SELECT unit, sale_date, CAST(kg AS DOUBLE) AS kg,
                CAST(sum(kg) OVER (PARTITION BY unit ORDER BY sale_date) AS DOUBLE) AS kg_so_far
         FROM sales""",
     "running_avg_filtered": f"""WITH {CYCLE_METRICS}

@@ -26,7 +26,6 @@ from broodline.operators.windows import (
     by_age,
     latest_n,
     running_mean_where,
-    running_sum,
     spread_ranked,
 )
 from broodline.plans import bindings as b
@@ -317,10 +316,10 @@ def running_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("running_sum_with_ties")
 def running_sum_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several sales of a unit on one day share the running total of that day."""
-    window = by_age(["unit"], "sale_date")
-    return b.sales(spark, sf_dir).select(
-        "unit", "sale_date", "kg", running_sum("kg", window).cast("double").alias("kg_so_far")
-    )
+    sold = b.sales(spark, sf_dir).select("unit", "sale_date", "kg")
+    week = F.trunc("sale_date", "WEEK")
+    totals = blocked_running_sum(sold, "kg", ["unit"], "sale_date", week, "kg_so_far")
+    return totals.withColumns({n: F.col(n).cast("double") for n in ("kg", "kg_so_far")})
 
 
 @query("running_avg_filtered")

@@ -35,6 +35,32 @@ def write_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 10_000, **
     df.write.format("jdbc").options(**settings).mode("overwrite").save()
 
 
+def upsert_statement(table: str, staging: str, columns: Sequence[str], keys: Sequence[str]) -> str:
+    """SQL for the database itself: merge a staging table into ``table`` in one statement.
+
+    Load the newest change per key into ``staging`` with :func:`write_jdbc`, then
+    run this on any connection; all columns come from the incoming row.
+    """
+    names = ", ".join(f'"{c}"' for c in columns)
+    others = [c for c in columns if c not in keys]
+    update = ", ".join(f'"{c}" = EXCLUDED."{c}"' for c in others)
+    action = f"DO UPDATE SET {update}" if others else "DO NOTHING"
+    key_list = ", ".join(f'"{k}"' for k in keys)
+    return (
+        f"INSERT INTO {table} ({names}) SELECT {names} FROM {staging}"
+        f" ON CONFLICT ({key_list}) {action}"
+    )
+
+
+def newest_changes(
+    changes: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]
+) -> DataFrame:
+    """One row per key: the change that wins."""
+    window = Window.partitionBy(*keys).orderBy(*newest_first)
+    ranked = changes.withColumn("__rn", F.row_number().over(window))
+    return ranked.where(F.col("__rn") == 1).drop("__rn")
+
+
 def merge_upsert(
     target: DataFrame, changes: DataFrame, keys: Sequence[str], newest_first: Sequence[Column]
 ) -> DataFrame:
@@ -44,12 +70,7 @@ def merge_upsert(
     or is added. ``newest_first`` decides between several changes of one key.
     """
     keys = list(keys)
-    window = Window.partitionBy(*keys).orderBy(*newest_first)
-    newest = (
-        changes.withColumn("__rn", F.row_number().over(window))
-        .where(F.col("__rn") == 1)
-        .select(*target.columns)
-    )
+    newest = newest_changes(changes, keys, newest_first).select(*target.columns)
     return target.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
 
 

@@ -20,14 +20,14 @@ def read_table(
     name: str,
     schema: str | None = None,
     fmt: str = "parquet",
-    columns: T.StructType | None = None,
+    columns: T.StructType | str | None = None,
     **options: Any,
 ) -> DataFrame:
     """Whole table ``name`` below ``root``; the first folder that has it wins.
 
     With a ``schema`` the search path is ``root/dbo``, then ``root/schema``;
     without one the table lies directly in ``root``. A table is ``name.<fmt>`` or
-    a folder ``name``.
+    a folder ``name``. Given its ``columns`` no job reads files to find them.
     """
     folders = [root] if schema is None else [f"{root}/{FIRST_SCHEMA}", f"{root}/{schema}"]
     missing = None

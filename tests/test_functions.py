@@ -20,6 +20,7 @@ from broodline.functions.text import (
     to_day,
     to_number,
 )
+from broodline.operators.filters import last_n_days, one_of, within_range
 from pyspark.sql import functions as F
 
 
@@ -40,6 +41,13 @@ def test_canonicalize_applies_rules_in_order(spark):
     ]
 
 
+def test_canonicalize_whole_values(spark):
+    rules = [("JO", "JOE"), ("JOE", "JOSEPH ")]
+    data = [("JO",), ("JOE",), ("JO ANN",)]
+    found = values(spark, "name string", data, canonicalize("name", rules, whole_value=True))
+    assert found == ["JOSEPH", "JOSEPH", "JO ANN"]
+
+
 def test_recode_is_whole_value_and_sequential(spark):
     steps = [("A", "B"), ("B", "C"), ("x", None)]
     assert collapse_recodes(steps) == {"A": "C", "B": "C", "x": None}
@@ -144,6 +152,19 @@ def test_used_flag(spark):
     assert values(spark, "x double", data, used_flag("x")) == [0, 0, 1, 0, 1, 0]
 
 
+def test_optional_filters(spark):
+    today = dt.date.today()
+    data = [(today, "a"), (today - dt.timedelta(days=30), "b"), (None, None)]
+    df = spark.createDataFrame(data, "d date, v string")
+    assert last_n_days(df, "d", None).count() == 3
+    assert last_n_days(df, "d", 7).count() == 1
+    assert last_n_days(df, "d", 30, F.lit(today)).count() == 2
+    assert within_range(df, "d").count() == 3
+    assert within_range(df, "d", upper=today - dt.timedelta(days=1)).count() == 1
+    assert one_of(df, {"v": None}).count() == 3
+    assert one_of(df, {"v": ["a", "c"], "d": None}).count() == 1
+
+
 def test_guards(spark):
     data = [(6.0, 3.0), (6.0, 0.0), (6.0, None), (None, 2.0)]
     ratio = zero_guarded_ratio(F.col("a"), F.col("b"))

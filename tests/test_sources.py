@@ -1,10 +1,13 @@
 import tempfile
 
 import pytest
+from broodline.plans.bindings import COLUMNS, table
 from broodline.sources.scratch import scratch_path
 from broodline.sources.sinks import (
     merge_upsert,
+    newest_changes,
     upsert_partitions,
+    upsert_statement,
     write_append,
     write_overwrite,
     write_sheet,
@@ -127,3 +130,19 @@ def test_scratch_path_uses_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "a").startswith(f"{shared}/a-")
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+def test_upsert_statement(spark, changes):
+    assert upsert_statement("s.t", "s.t_new", ["k", "v", "w"], ["k"]) == (
+        'INSERT INTO s.t ("k", "v", "w") SELECT "k", "v", "w" FROM s.t_new'
+        ' ON CONFLICT ("k") DO UPDATE SET "v" = EXCLUDED."v", "w" = EXCLUDED."w"'
+    )
+    assert upsert_statement("t", "n", ["k"], ["k"]).endswith('ON CONFLICT ("k") DO NOTHING')
+    newest = newest_changes(changes, ["k"], [F.col("seq").desc()])
+    assert rows(newest) == [(2, "new", 2), (3, None, 5), (4, "d", 1)]
+
+
+def test_declared_columns_match_the_files(spark, sf_dir):
+    for name in COLUMNS:
+        found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        assert found.schema == table(spark, sf_dir, name).schema, name

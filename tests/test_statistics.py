@@ -142,6 +142,8 @@ def test_correlation_report_grid(spark):
     assert len(report.columns) == 121
     assert [r["feature"] for r in report.collect()] == ["b", "a"]
     assert report.collect()[1]["Jan 21 : week 1"] == 0.5
+    renamed = correlation_report(df, [2021, 2022], label_map={"a": "Z"}, descending=False)
+    assert [r["feature"] for r in renamed.collect()] == ["Z", "b"]
     assert "Jan 21 : week 1" not in correlation_report(df, [2021, 2022], skip_buckets=50).columns
 
 
