@@ -95,6 +95,17 @@ def skew_joined(
             .drop("__cut_l", "__cut_r")
         )
 
-    a = tiled(left, "__cut_l", "__cut_r", "__tile_l", "__tile_r")
-    b = tiled(right, "__cut_r", "__cut_l", "__tile_r", "__tile_l")
-    return a.join(b, [*keys, "__tile_l", "__tile_r"]).drop("__tile_l", "__tile_r")
+    tiles = [*keys, "__tile_l", "__tile_r"]
+    a = spread(tiled(left, "__cut_l", "__cut_r", "__tile_l", "__tile_r"), *tiles)
+    b = spread(tiled(right, "__cut_r", "__cut_l", "__tile_r", "__tile_l"), *tiles)
+    return a.join(b, tiles).drop("__tile_l", "__tile_r")
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Partition by the columns, or evenly, into the session's number of shuffle partitions.
+
+    For inputs that are small in bytes but costly per row: a stated number keeps
+    adaptive execution from merging the partitions by their size.
+    """
+    number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(number, *columns)

@@ -101,6 +101,25 @@ def test_similar_pairs_equal_all_pairs(spark, threshold, alphabet, lengths):
     assert expected
 
 
+def test_common_words_lose_no_pair(spark):
+    """Every name holds the same long words; only rare pieces tell names apart."""
+    words = ["north ", " farm cluster ", " unit"]
+
+    def phrase(name):
+        return words[0] + name[: len(name) // 2] + words[1] + name[len(name) // 2 :] + words[2]
+
+    left = [phrase(n) for n in noisy_names(4, 120, "abcdef", [14, 20])]
+    right = [phrase(n) for n in noisy_names(5, 80, "abcdef", [14, 20])] + left[::5]
+    right = sorted(set(right))
+    a = spark.createDataFrame([(x, x) for x in left], "a string, ta string")
+    b = spark.createDataFrame([(x, x, 1) for x in right], "b string, tb string, copies int")
+    for threshold in (85, 93):
+        found = similar_pairs(a, b, threshold, block=10).select("a", "b")
+        expected = [(x, y) for x in left for y in right if score(x, y) >= threshold]
+        assert rows(found) == sorted(expected, key=repr)
+        assert len(expected) > len(left[::5])
+
+
 def test_fuzzy_topk_limit_copies_and_no_match(spark):
     left = spark.createDataFrame(
         [(1, "North Farm"), (2, "north-farm!"), (3, ""), (4, None), (5, "zzz"), (6, "North Farm")],
