@@ -105,19 +105,17 @@ def unit_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monitored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four of five cycle days, under other key names, with the period number."""
-    return (
-        cycle_daily(spark, sf_dir)
-        .where((F.col("unit") + F.col("age")) % 5 != 0)
-        .select(
-            F.col("unit").alias("unit_name"),
-            F.col("cycle_start").alias("start_date"),
-            F.col("age").alias("day_age"),
-            (F.floor(F.date_diff("cycle_start", F.lit(FIRST_PERIOD)) / 7) + 1)
-            .cast("int")
-            .alias("period"),
-        )
-    )
+    """Cycle days on which the unit was looked at, with the period number."""
+    day = F.col("ts").cast("date")
+    start = F.trunc(day, "WEEK")
+    looks = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
+    days = looks.select(
+        F.col("user_id").alias("unit_name"),
+        start.alias("start_date"),
+        (F.date_diff(day, start) + 1).alias("day_age"),
+    ).distinct()
+    weeks = F.floor(F.date_diff("start_date", F.lit(FIRST_PERIOD)) / 7)
+    return days.withColumn("period", (weeks + 1).cast("int"))
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:

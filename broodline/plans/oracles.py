@@ -81,10 +81,12 @@ unit_dim AS (
 
 MONITORED = """
 monitored AS (
-    SELECT unit AS unit_name, cycle_start AS start_date, age AS day_age,
-           CAST(date_diff('day', DATE '2024-01-01', cycle_start) // 7 + 1 AS INTEGER) AS period
-    FROM cycle_daily
-    WHERE (unit + age) % 5 <> 0
+    SELECT DISTINCT user_id AS unit_name, CAST(date_trunc('week', ts) AS DATE) AS start_date,
+           CAST(isodow(ts) AS INTEGER) AS day_age,
+           CAST(date_diff('day', DATE '2024-01-01', CAST(date_trunc('week', ts) AS DATE)) // 7 + 1
+                AS INTEGER) AS period
+    FROM events
+    WHERE event_type IN ('view', 'click')
 )"""
 
 SALES = """
@@ -391,11 +393,21 @@ noised AS (
 
 ORDER_CHANGES = """
 orders_ AS (SELECT o_orderstatus, o_orderkey, o_totalprice FROM orders),
+changes AS (
+    SELECT l_linestatus AS o_orderstatus, l_orderkey AS o_orderkey,
+           l_extendedprice AS o_totalprice, l_linenumber AS seq
+    FROM lineitem
+)"""
+
+
+def newest_change(keys: str) -> str:
+    return f"""
 newest AS (
-    SELECT o_orderstatus, o_orderkey, o_totalprice * 2 AS o_totalprice
-    FROM orders WHERE o_orderkey % 7 = 0
-    UNION ALL
-    SELECT o_orderstatus, o_orderkey + 10000000, o_totalprice FROM orders WHERE o_orderkey % 7 = 0
+    SELECT o_orderstatus, o_orderkey, o_totalprice FROM (
+        SELECT *, row_number() OVER (
+            PARTITION BY {keys} ORDER BY seq DESC, o_totalprice DESC, o_orderstatus) AS rn
+        FROM changes)
+    WHERE rn = 1
 )"""
 
 
@@ -761,11 +773,12 @@ ORACLES: dict[str, str] = {
         SELECT n_nationkey, n_name, n_regionkey, 'nation' AS source FROM nation
         UNION ALL SELECT n_nationkey + 100, n_name, n_regionkey, 'nation' FROM nation
         UNION ALL SELECT CAST(p_partkey AS INTEGER), p_name, NULL, 'part' FROM part""",
-    "sink_upsert": f"""WITH {ORDER_CHANGES}
+    "sink_upsert": f"""WITH {ORDER_CHANGES}, {newest_change("o_orderkey")}
         SELECT * FROM newest UNION ALL
         SELECT * FROM orders_ WHERE o_orderkey NOT IN (SELECT o_orderkey FROM newest)""",
-    "sink_upsert_partitions": f"""WITH {ORDER_CHANGES},
-        touched AS (SELECT * FROM newest WHERE o_orderstatus <> 'F')
-        SELECT * FROM touched UNION ALL
-        SELECT * FROM orders_ WHERE o_orderkey NOT IN (SELECT o_orderkey FROM touched)""",
+    "sink_upsert_partitions": f"""WITH {ORDER_CHANGES}, {newest_change("o_orderstatus, o_orderkey")}
+        SELECT * FROM newest UNION ALL
+        SELECT o.* FROM orders_ o
+        WHERE NOT EXISTS (SELECT 1 FROM newest n
+            WHERE n.o_orderkey = o.o_orderkey AND n.o_orderstatus = o.o_orderstatus)""",
 }

@@ -777,26 +777,27 @@ def sink_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders and a change feed holding two versions of every seventh order and new ones."""
+    """Orders, and their lines as a change feed: the last line sets status and price."""
     orders = b.table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice")
-    some = orders.where(F.col("o_orderkey") % 7 == 0)
-    changes = (
-        some.withColumns({"o_totalprice": F.lit(-1.0), "seq": F.lit(1)})
-        .unionByName(some.withColumns({"o_totalprice": F.col("o_totalprice") * 2, "seq": F.lit(2)}))
-        .unionByName(
-            some.withColumns({"o_orderkey": F.col("o_orderkey") + 10_000_000, "seq": F.lit(1)})
-        )
+    changes = b.table(spark, sf_dir, "lineitem").select(
+        F.col("l_linestatus").alias("o_orderstatus"),
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.col("l_extendedprice").alias("o_totalprice"),
+        F.col("l_linenumber").alias("seq"),
     )
     return orders, changes
 
 
+def _last_line() -> list[Column]:
+    return [F.col("seq").desc(), F.col("o_totalprice").desc(), F.col("o_orderstatus").asc()]
+
+
 @query("sink_upsert")
 def sink_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, changes = _order_changes(spark, sf_dir)
-    path = scratch_path(spark, "orders")
-    write_overwrite(orders, path)
-    newest = [F.col("seq").desc()]
-    return write_upsert(spark, path, changes, ["o_orderkey"], newest, scratch_path(spark, "orders"))
+    old, new = scratch_path(spark, "orders"), scratch_path(spark, "orders")
+    write_overwrite(orders, old)
+    return write_upsert(spark, old, changes, ["o_orderkey"], _last_line(), new)
 
 
 @query("sink_upsert_partitions")
@@ -805,8 +806,7 @@ def sink_upsert_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "orders")
     write_overwrite(orders, path, partition_by=["o_orderstatus"])
     keys = ["o_orderstatus", "o_orderkey"]
-    touched = changes.where(F.col("o_orderstatus") != "F")
-    upsert_partitions(spark, path, touched, keys, [F.col("seq").desc()], ["o_orderstatus"])
+    upsert_partitions(spark, path, changes, keys, _last_line(), ["o_orderstatus"])
     return spark.read.parquet(path)
 
 

@@ -113,14 +113,14 @@ def test_population_keeps_unmatched_units_and_skips_old_bands(spark):
         "unit_name string, cycle_start date, obs_date date, age int, pop_end int",
     )
     units = spark.createDataFrame(
-        [(" U1", "ann  ", "ZAENUL")], "unit_name string, officer string, manager string"
+        [(" U1", "ann  ", "OLD NAME")], "unit_name string, officer string, manager string"
     )
     officers = spark.createDataFrame(
         [("ANN", "b1", "p1"), ("ANN", "b1", "p1")], "officer string, branch string, province string"
     )
-    found = population_by_age_band(cycles, units, officers, manager_rules=[("ZAENUL", "ZAINUL")])
+    found = population_by_age_band(cycles, units, officers, manager_rules=[("OLD NAME", "NEW NAME")])
     assert [tuple(r) for r in found.collect()] == [
-        ("p1", "b1", "ZAINUL", 10, 0, 5, 0, 15),
+        ("p1", "b1", "NEW NAME", 10, 0, 5, 0, 15),
         (None, None, None, 0, 2, 0, 0, 2),
     ]
 

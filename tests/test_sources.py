@@ -2,6 +2,7 @@ import tempfile
 
 import pytest
 from broodline.plans.bindings import COLUMNS, table
+from broodline.plans.intake import intake
 from broodline.sources.scratch import scratch_path
 from broodline.sources.sinks import (
     merge_upsert,
@@ -146,3 +147,13 @@ def test_declared_columns_match_the_files(spark, sf_dir):
     for name in COLUMNS:
         found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         assert found.schema == table(spark, sf_dir, name).schema, name
+
+
+def test_intake_reads_profiles_and_cleanses(spark, folder):
+    data = [("9", "c", 1, "Undefined", 2), (None, "c", None, "BB", 1), ("9", "c", 0, "BB", 0)]
+    schema = "agent string, company string, children int, meal string, adults int"
+    write_overwrite(spark.createDataFrame(data, schema), f"{folder}/portfolio/hotel.parquet")
+    raw, facts, cleansed = intake(spark, folder, "hotel", "portfolio")
+    assert raw.count() == 3
+    assert facts.where("section = 'nulls' and metric = 'null_count'").count() == 2
+    assert rows(cleansed) == [("9", 0, "BB", 1), ("9", 1, "No Meal", 2)]
