@@ -548,7 +548,7 @@ ORACLES: dict[str, str] = {
         SELECT unit, cycle_start, age, round(total_bw, 6) AS total_bw,
                round(fcr_calc, 6) AS fcr_calc FROM cycle_metrics""",
     "performance_index_quick": f"""WITH {CYCLE_METRICS}
-        SELECT unit, cycle_start, age, round(ip_quick, 6) AS ip_quick FROM cycle_metrics""",
+        SELECT unit, cycle_start, age, round(ip_quick, 9) AS ip_quick FROM cycle_metrics""",
     "running_sum_hot_groups": """
         SELECT o_orderkey, o_orderstatus,
                CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (

@@ -284,9 +284,9 @@ def drop_duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- windows -----------------------------------------------------------------
 
 
-def _metric(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+def _metric(spark: SparkSession, sf_dir: str, *names: str, digits: int = 6) -> DataFrame:
     days = pi.cycle_metrics(b.cycle_daily(spark, sf_dir))
-    return rounded(days.select(*pi.CYCLE_DAY, *names))
+    return rounded(days.select(*pi.CYCLE_DAY, *names), digits)
 
 
 @query("harvest_daily")
@@ -339,7 +339,7 @@ def fcr_calc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("performance_index_quick")
 def performance_index_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metric(spark, sf_dir, "ip_quick")
+    return _metric(spark, sf_dir, "ip_quick", digits=9)
 
 
 @query("running_sum_hot_groups")
