@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from broodline.llm.arrays import held_out
 from broodline.llm.language_id import fit_language_model, identify_language
+from broodline.llm.near_dup import near_duplicates
 from broodline.llm.quality import fit_quality, score_quality
 from broodline.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -55,6 +56,11 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 @query("op10_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
