@@ -89,14 +89,21 @@ def ascii_lower(data: np.ndarray) -> np.ndarray:
     return _ASCII_LOWER[data]
 
 
+def span_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: a polynomial of the bytes mixed with their number."""
+    up, down = _tables(len(part) + 1)
+    sums = np.zeros(len(part) + 1, U64)
+    np.cumsum((part + U64(1)) * up[: len(part)], dtype=U64, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
 def tokens(
     data: np.ndarray, offsets: np.ndarray, classes: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and 64-bit hash of every maximal run of one non-zero byte class.
 
-    Runs end where a row ends. The hash is a polynomial of the bytes mixed with
-    their number, read off prefix sums; long inputs are cut at separators, so
-    the working arrays stay small however long a text is.
+    Runs end where a row ends. Hashes are read off prefix sums; long inputs are cut
+    at separators, so the working arrays stay small however long a text is.
     """
     row_start = np.zeros(len(data) + 1, bool)
     row_start[offsets] = True
@@ -119,9 +126,7 @@ def tokens(
         closes = (kind > 0) & ((kind != after) | row_start[at + 1 : stop + 1])
         s, e = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         if len(s):
-            up, down = _tables(len(part) + 1)
-            sums = np.concatenate((np.zeros(1, U64), np.cumsum((part + U64(1)) * up[: len(part)], dtype=U64)))
-            hashes.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U64)))
+            hashes.append(span_hashes(part, s, e))
             starts.append(s + at)
             ends.append(e + at)
         at = stop

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broodline.llm.arrays import held_out
+from broodline.llm.decontaminate import contaminated_pairs
+from broodline.llm.fingerprints import fingerprints
 from broodline.llm.language_id import fit_language_model, identify_language
 from broodline.llm.near_dup import near_duplicates
+from broodline.llm.packing import pack
 from broodline.llm.quality import fit_quality, score_quality
+from broodline.llm.token_files import round_trip
 from broodline.llm.toxicity import fit_toxicity, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +48,22 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_token_files")
+def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_decontamination")
+def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold a benchmark item, with the item."""
+    return contaminated_pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op7_quality")
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,6 +82,11 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+@query("op9_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 @query("op10_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
