@@ -12,6 +12,7 @@ from broodline.llm.arrays import held_out
 from broodline.llm.decontaminate import contaminated_pairs
 from broodline.llm.fingerprints import fingerprints
 from broodline.llm.language_id import fit_language_model, identify_language
+from broodline.llm.licences import fit_licences, scan_licences
 from broodline.llm.near_dup import near_duplicates
 from broodline.llm.packing import pack
 from broodline.llm.quality import fit_quality, score_quality
@@ -35,6 +36,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_licences")
+def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(read(spark, sf_dir, "documents"), fit_licences(spark))
+
+
 @query("op2_toxicity")
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
