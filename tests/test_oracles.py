@@ -2,10 +2,10 @@
 
 import compare
 import pytest
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 
-QUERIES = queries()
-ORACLES = oracle_sql()
+from broodline.plans.oracles import ORACLES
+from broodline.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
