@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from broodline.llm.arrays import held_out
 from broodline.llm.decontaminate import contaminated_pairs
 from broodline.llm.fingerprints import fingerprints
+from broodline.llm.html_extract import extract_main_text
 from broodline.llm.language_id import fit_language_model, identify_language
 from broodline.llm.licences import fit_licences, scan_licences
 from broodline.llm.near_dup import near_duplicates
@@ -59,6 +60,11 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op4_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
 @query("op5_token_files")
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
