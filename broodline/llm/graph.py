@@ -38,10 +38,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = tuple(mark)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a")
+        small = large.join(down.hint("merge"), "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(
             small.select("a", F.col("m").alias("b"))
         )

@@ -8,6 +8,8 @@ formed. Rows sharing a key form candidate groups; within a group the shingle
 sets themselves decide, tile by tile, and each tile returns only the links that
 join its members, not its pairs.
 
+Both sides of every join here grow with the corpus, so all are sort-merge joins.
+
 Texts with equal shingle sets are collapsed to one representative first, so
 exact copies never meet each other. Components follow from the confirmed links.
 
@@ -24,8 +26,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broodline.llm.arrays import PLAIN_WORDS, U64, ascii_lower, mix, per_batch, tokens, utf8
@@ -38,6 +41,8 @@ BUNDLE = 3
 MISSED = 5e-4
 #: Sets of one tile; two tiles meet in one group.
 TILE = 64
+#: Bits of the bitmap of candidate ids, as a power of two.
+MEMBER_BITS = 25
 
 
 def bundles_needed(threshold: float) -> int:
@@ -126,7 +131,7 @@ def shared(rows: DataFrame, key: str) -> DataFrame:
     """The rows (``rep`` and a key) whose key has several ``rep``, with the least as ``centre``."""
     groups = rows.groupBy(key).agg(F.min("rep").alias("centre"), F.max("rep").alias("__last"))
     groups = groups.where("centre < __last").drop("__last")
-    return rows.join(groups, key)
+    return rows.join(groups.hint("merge"), key)
 
 
 def candidate_edges(reps: DataFrame) -> DataFrame:
@@ -217,6 +222,27 @@ def links_within(
     return out
 
 
+def likely_member(grouped: DataFrame) -> Column:
+    """True for every id (``rep``) in ``grouped`` and for few others.
+
+    A bitmap of fixed size, so texts that are no candidates stay out of the shuffle;
+    a full bitmap only keeps more of them in.
+    """
+    place = F.pmod(F.xxhash64("rep"), F.lit(1 << MEMBER_BITS))
+    words = grouped.select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(63).alias("bit"))
+    mask = F.expr("shiftleft(1L, cast(bit as int))")
+    found = words.groupBy("word").agg(F.bit_or(mask).alias("mask")).toArrow()
+    bitmap = np.zeros(1 << (MEMBER_BITS - 6), np.int64)
+    bitmap[found.column(0).to_numpy()] = found.column(1).to_numpy()
+
+    @F.pandas_udf("boolean")
+    def member(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((bitmap[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return F.col("rep").isNotNull() & member(place)
+
+
 def confirmed_links(
     docs: DataFrame, grouped: DataFrame, words: int, percent: int, key: str, text: str
 ) -> DataFrame:
@@ -227,7 +253,8 @@ def confirmed_links(
     meet once, so a task never holds more than two tiles.
     """
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    texts = texts.where(F.col("text").isNotNull()).join(grouped, "rep")
+    texts = texts.where(F.col("text").isNotNull() & likely_member(grouped))
+    texts = texts.join(grouped.hint("merge"), "rep")
 
     def sets_of(batch: pa.RecordBatch) -> pa.RecordBatch:
         values, begins = shingles(*utf8(batch.column("text")), words)
@@ -295,21 +322,21 @@ def near_duplicates(
     groups = connected_components(candidate_edges(reps))
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     grouped = (
-        groups.join(sizes, "component")
+        groups.join(sizes.hint("merge"), "component")
         .withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .select(F.col("node").alias("rep"), F.col("component").alias("blob"), "tile", "tiles")
-        .join(reps.select("rep", "digest"), "rep")
+        .join(reps.select("rep", "digest").hint("merge"), "rep")
     )
     grouped = settled(grouped, "candidates")
     links = confirmed_links(docs, grouped, words, percent, key, text)
     parts = connected_components(links)
     named = (
         reps.select("rep", "digest")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(parts.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
         .select("digest", F.coalesce("component", "rep").alias("component_id"))
     )
     rows = signed.select("doc", "n", "digest")
-    joined = rows.join(named, "digest", "left")
+    joined = rows.join(named.hint("merge"), "digest", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
     return joined.select(
         F.col("doc").alias(key),
