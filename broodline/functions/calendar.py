@@ -55,7 +55,7 @@ def bucket_label(month: Column | str, year: Column | str, week: Column | str) ->
     )
 
 
-def bucket_headings(years: list[int], max_week: int = 5, skip: int = 0) -> list[str]:
+def bucket_headings(years: list[int], max_week: int = 6, skip: int = 0) -> list[str]:
     """Every heading of a report grid in calendar order, minus the first ``skip``."""
     grid = [
         f"{month} {year % 100:02d} : week {week}"

@@ -28,6 +28,12 @@ def zero_guarded_ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator == 0, F.lit(0.0)).otherwise(F.try_divide(numerator, denominator))
 
 
+def nan_as_null(value: Column | str) -> Column:
+    """A floating-point value, NULL where it is NaN."""
+    column = as_column(value)
+    return F.when(~F.isnan(column), column)
+
+
 def or_zero(value: Column | str) -> Column:
     return F.coalesce(as_column(value), F.lit(0))
 

@@ -6,7 +6,7 @@ one whole-stage-codegen projection and never adds a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -92,6 +92,21 @@ def to_number(value: Column | str) -> Column:
     return F.when(text.rlike(NUMBER_TEXT), F.trim(text).try_cast("double"))
 
 
-def to_day(value: Column | str) -> Column:
-    """Timestamp, date or ISO text to a date; unreadable text becomes NULL."""
-    return as_column(value).try_cast("date")
+#: Spellings of a day that reports accept beside ISO text.
+DAY_FORMATS = ("yyyy/M/d", "d MMM yyyy", "MMM d, yyyy", "M/d/yyyy")
+
+
+def to_day(value: Column | str, formats: Sequence[str] = (), strict: bool = False) -> Column:
+    """Timestamp, date or text to a date.
+
+    Text is read as ISO, then by each of ``formats``. Text that fits none becomes
+    NULL, or fails the query if ``strict``; NULL and blank text are NULL either way.
+    """
+    column = as_column(value)
+    text = F.trim(column.cast("string"))
+    tried = [F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats]
+    day = F.coalesce(column.try_cast("date"), *tried)
+    if not strict:
+        return day
+    unreadable = F.raise_error(F.concat(F.lit("not a day: "), text)).cast("date")
+    return F.when(day.isNotNull() | text.isNull() | (text == ""), day).otherwise(unreadable)

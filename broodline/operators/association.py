@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broodline.functions.calendar import bucket_headings, bucket_label
+from broodline.functions.numeric import nan_as_null
 from broodline.functions.text import Recodes, recode
 
 BUCKET = ["year", "month", "week_of_month"]
@@ -32,12 +33,12 @@ def indicator_correlation(
     """``(bucket.., feature, n, n_feature, r)``; r is NULL where it is undefined.
 
     ``features`` is an array naming the indicators that are 1, computed from the
-    ``cell`` columns. Rows without an outcome take no part. r is undefined for a
+    ``cell`` columns. Rows without an outcome (NULL or NaN) take no part. r is undefined for a
     bucket of one row, a constant outcome, or a feature all rows of the bucket
     have.
     """
     keys, cell = list(bucket), list(cell)
-    outcomes = rows.select(*keys, *cell, F.col(outcome).cast("double").alias("y"))
+    outcomes = rows.select(*keys, *cell, nan_as_null(F.col(outcome).cast("double")).alias("y"))
     folded = (
         outcomes.where(F.col("y").isNotNull())
         .groupingSets([[*keys, *cell], keys], *keys, *cell)
@@ -83,21 +84,26 @@ def indicator_correlation(
 def correlation_report(
     correlations: DataFrame,
     years: Sequence[int],
-    max_week: int = 5,
+    max_week: int = 6,
     skip_buckets: int = 0,
     descending: bool = True,
     label_map: Recodes = (),
+    features: DataFrame | None = None,
 ) -> DataFrame:
     """One row per feature, one column per calendar bucket of the given years.
 
     The headings follow from the parameters, so the pivot needs no job to find
-    its values. Features without any bucket in the grid are left out, buckets
-    without a value are NULL. ``label_map`` renames features for the reader.
+    its values. Every feature of ``correlations`` keeps a row, and so does every
+    value of ``features`` (a one-column table) if given, say of features whose
+    outcomes are all missing; buckets without a value are NULL. ``label_map`` renames features for the reader.
     """
     headings = bucket_headings(list(years), max_week, skip_buckets)
     labelled = correlations.select(
         "feature", "r", bucket_label("month", "year", "week_of_month").alias("heading")
-    ).where(F.col("year").isin(list(years)) & (F.col("week_of_month") <= max_week))
+    )
     wide = labelled.groupBy("feature").pivot("heading", headings).agg(F.first("r", ignorenulls=True))
+    if features is not None:
+        listed = features.toDF("feature").where("feature IS NOT NULL").distinct()
+        wide = listed.join(wide, "feature", "left")
     order = F.col("feature").desc() if descending else F.col("feature").asc()
     return wide.orderBy(order).withColumn("feature", recode("feature", label_map))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from broodline.functions.text import recode
-from broodline.operators.impute import fill_missing, mode_value
+from broodline.operators.impute import fill_missing, mode_value, present
 
 
 @dataclass(frozen=True)
@@ -52,11 +52,15 @@ def cleanse(
         raise ValueError(f"columns not in the table: {sorted(unknown)}")
     count = F.count(F.lit(1)).alias("row_count")
     result = df.observe(before, count) if before is not None else df
+    plain = df  # the same rows, not observed a second time by the subqueries
     if rules.drop_duplicates:
-        result = result.dropDuplicates()
+        result, plain = result.dropDuplicates(), plain.dropDuplicates()
     if rules.fill:
-        result = result.fillna(dict(rules.fill))
-    modes = {name: fill_missing(name, mode_value(df, name)) for name in rules.fill_with_mode}
+        result, plain = result.fillna(dict(rules.fill)), plain.fillna(dict(rules.fill))
+    modes = {
+        name: fill_missing(name, mode_value(plain, name), present(plain, name))
+        for name in rules.fill_with_mode
+    }
     if modes:
         result = result.withColumns(modes)
     result = result.drop(*rules.drop)

@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def present(df: DataFrame, column: str) -> Column:
+    """True where the column has a value: neither NULL nor, in a floating-point column, NaN."""
+    found = F.col(column).isNotNull()
+    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+        found = found & ~F.isnan(column)
+    return found
 
 
 def mode_value(df: DataFrame, column: str) -> Column:
-    """Most frequent value, the smallest on ties, as a scalar subquery."""
+    """Most frequent value, the smallest on ties, as a scalar subquery; NaN is no value."""
     return (
-        df.where(F.col(column).isNotNull())
+        df.where(present(df, column))
         .groupBy(F.col(column).alias("v"))
         .count()
         .orderBy(F.desc("count"), F.asc("v"))
@@ -30,7 +39,8 @@ def exact_median(df: DataFrame, column: str, resolution: int = 10_000) -> Column
     """
     value = F.col("v")
     slot = F.floor(F.signum(value) * F.log1p(F.abs(value)) * resolution)
-    values = df.select(F.col(column).cast("double").alias("v")).where(value.isNotNull())
+    values = df.select(F.col(column).cast("double").alias("v"))
+    values = values.where(value.isNotNull() & ~F.isnan("v"))
     values = values.withColumn("slot", slot)
 
     running = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
@@ -62,5 +72,7 @@ def exact_median(df: DataFrame, column: str, resolution: int = 10_000) -> Column
     return ranked.agg(((low + high) / 2).alias("median")).scalar()
 
 
-def fill_missing(column: str, value: Column) -> Column:
-    return F.coalesce(F.col(column), value)
+def fill_missing(column: str, value: Column, found: Column | None = None) -> Column:
+    """The column, or ``value`` where it is NULL or not ``found`` (see :func:`present`)."""
+    own = F.col(column) if found is None else F.when(found, F.col(column))
+    return F.coalesce(own, value)

@@ -55,8 +55,11 @@ def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     counted = df.groupBy(*keys).agg(
         F.any_value(F.struct(*others)).alias("__row"), F.count(F.lit(1)).alias("__n")
     )
-    row = F.when(F.col("__n") == 1, F.col("__row")).otherwise(F.raise_error(message))
-    return counted.withColumn("__row", row).select(
+    # A filter, since a column that nothing reads would be pruned together with the check.
+    checked = counted.where(
+        F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    )
+    return checked.select(
         *keys, *[F.col("__row")[name].alias(name) for name in others]
     )
 

@@ -1,7 +1,7 @@
 """Table profile as a DataFrame of facts: counts, duplicates, NULLs, small domains.
 
-Row count, NULL counts and approximate distinct counts of all columns come from
-one aggregation whose result is a single row. Exact distinct values are counted
+Duplicates, NULL counts and approximate distinct counts are an aggregation each,
+with a single row as result. Exact distinct values are counted
 only for columns that can pass the threshold: with fewer than ``m`` distinct
 values the HyperLogLog estimate stays in its linear-counting range close to the
 true count, so a generous margin on the estimate never drops a qualifying column
@@ -48,9 +48,9 @@ def duplicate_rows(df: DataFrame, digest: bool = False) -> DataFrame:
 
 
 def null_counts(df: DataFrame) -> DataFrame:
-    """``(column, null_count, null_pct)`` for the columns that contain NULLs."""
+    """``(column, null_count, null_pct)`` for the columns that contain NULLs; NaN counts as NULL."""
     missing = [
-        F.count_if(_column(name).isNull()).alias(f"__null_{i}") for i, name in enumerate(df.columns)
+        F.count_if(_is_missing(f)).alias(f"__null_{i}") for i, f in enumerate(df.schema)
     ]
     facts = F.array(
         *[
@@ -178,6 +178,8 @@ def _row_text(df: DataFrame) -> Column:
             text = F.hex(value)
         elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
             text = F.to_json(value, {"ignoreNullFields": "false"})
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            text = (value + 0.0).cast("string")  # -0.0 and 0.0 are equal
         else:
             text = value.cast("string")
         marked = F.concat(F.length(text).cast("string"), F.lit(":"), text)
@@ -185,6 +187,13 @@ def _row_text(df: DataFrame) -> Column:
     return F.concat(*parts)
 
 
+def _is_missing(f: T.StructField) -> Column:
+    missing = _column(f.name).isNull()
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        missing = missing | F.isnan(_column(f.name))
+    return missing
+
+
 def _share(part: str, whole: str, digits: int) -> Column:
     return F.round(F.try_divide(F.col(part), F.col(whole)) * 100, digits)
 

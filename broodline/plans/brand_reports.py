@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from broodline.functions.calendar import calendar_parts
-from broodline.functions.numeric import percent, price_band
-from broodline.functions.text import Recodes, compound, recode, to_day, to_number
+from broodline.functions.numeric import nan_as_null, percent, price_band
+from broodline.functions.text import DAY_FORMATS, Recodes, compound, recode, to_day, to_number
 from broodline.operators.aggregate import brand_families, family_columns, used_families
 from broodline.operators.association import indicator_correlation
 from broodline.operators.impute import exact_median, fill_missing
@@ -34,7 +34,7 @@ def brand_and_place(
     """
     y = _numeric(df, outcome)
     rows = df.select(
-        to_day(day).alias("day"),
+        to_day(day, DAY_FORMATS, strict=True).alias("day"),
         recode(brand, brand_recodes).alias("brand"),
         recode(place, place_recodes).alias("place"),
         (percent(y) if outcome_is_fraction else y).alias("y"),
@@ -61,7 +61,7 @@ def brand_and_price(
     Missing prices take the median price of the rows with a brand and a day.
     """
     rows = df.select(
-        to_day(day).alias("day"),
+        to_day(day, DAY_FORMATS, strict=True).alias("day"),
         recode(brand, brand_recodes).alias("brand"),
         _numeric(df, price).alias("price"),
         _numeric(df, outcome).alias("y"),
@@ -85,14 +85,16 @@ def feed_brands(
     """Correlation of feed use, per brand and per phase and brand, with the outcome.
 
     A brand counts as used when the sum of its daily columns does. Only brands
-    that are some row's ``top_brand`` are reported.
+    that are some row's ``top_brand`` are reported. Only number columns other than
+    the outcome can be feed columns. A day that cannot be read fails the query.
     """
-    families = family_columns(df.columns, days)
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name != outcome]
+    families = family_columns(numbers, days)
     brands = brand_families(families, phases)
     rows = (
         df.withColumns(
             {
-                "__day": to_day(day),
+                "__day": to_day(day, DAY_FORMATS, strict=True),
                 "__top": recode(top_brand, brand_recodes),
                 "__y": _numeric(df, outcome),
             }
@@ -108,10 +110,10 @@ def feed_brands(
 
 
 def _numeric(df: DataFrame, name: str) -> Column:
-    """The column as a double; text that is no number becomes NULL."""
+    """The column as a double; NaN and text that is no number become NULL."""
     if isinstance(df.schema[name].dataType, NumericType):
-        return F.col(name).cast("double")
-    return to_number(name)
+        return nan_as_null(F.col(name).cast("double"))
+    return nan_as_null(to_number(name))
 
 
 def _brand_of(family: str, brands: Sequence[str], phases: Sequence[str]) -> str:

@@ -378,6 +378,12 @@ MISSPELT = (
 )
 
 MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+FULL_LABELS = [
+    f"{m} {y:02d} : week {w}"
+    for y in (95, 96, 97, 98, 99, 0, 1)
+    for m in MONTH_NAMES
+    for w in range(1, 7)
+]
 PIVOT_LABELS = [
     f"{m} {y} : week {w}" for y in (96, 97) for m in MONTH_NAMES for w in range(1, 6)
 ][50:]
@@ -432,6 +438,15 @@ TWO_VALUED = domains(["doc_id", "n_chars", "quality", "toxic"], "= 2")
 
 # --- oracles -----------------------------------------------------------------
 
+def pivoted(labels: list[str]) -> str:
+    cells = ", ".join(f"max(CASE WHEN heading = '{x}' THEN r END) AS \"{x}\"" for x in labels)
+    return f"""
+        WITH long AS ({correlations(LINE_MEMBERS, "rows_", "members")}),
+        named AS (SELECT *, month || ' ' || lpad(CAST(year % 100 AS VARCHAR), 2, '0') || ' : week '
+                  || CAST(week_of_month AS VARCHAR) AS heading FROM long)
+        SELECT feature, {cells} FROM named GROUP BY feature"""
+
+
 ORACLES: dict[str, str] = {
     "scan_table": "SELECT * FROM customer",
     "read_many_union": """
@@ -475,9 +490,8 @@ ORACLES: dict[str, str] = {
         SELECT p_partkey, TRY_CAST(CASE WHEN p_partkey % 2 = 1 THEN replace(p_brand, 'Brand#', '')
             ELSE p_brand END AS DOUBLE) AS brand_no FROM part""",
     "coerce_date": """
-        SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 3 = 0
-            THEN strftime(o_orderdate, '%Y-%m-%d') || '?'
-            ELSE strftime(o_orderdate, '%Y-%m-%d') END AS DATE) AS day FROM orders""",
+        SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS day
+        FROM orders""",
     "age_band": f"""WITH {CYCLE_DAILY},
         b AS (SELECT *, age * 3 + unit % 20 AS days FROM cycle_daily)
         SELECT unit, cycle_start, age,
@@ -507,6 +521,10 @@ ORACLES: dict[str, str] = {
         WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 10 <> 0 THEN p_retailprice END AS price
                    FROM part)
         SELECT p_partkey, round(coalesce(price, (SELECT median(price) FROM p)), 6) AS price FROM p""",
+    "impute_median_nan": """
+        WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 17 <> 0 THEN p_retailprice END AS price
+                   FROM part)
+        SELECT p_partkey, round(coalesce(price, (SELECT median(price) FROM p)), 6) AS price FROM p""",
     "impute_mode": f"""WITH {DOCS}
         SELECT doc_id,
                coalesce(quality, (SELECT quality FROM docs WHERE quality IS NOT NULL
@@ -661,21 +679,17 @@ ORACLES: dict[str, str] = {
         FROM feed_events o GROUP BY unit, cycle_start""",
     "one_hot": """
         SELECT p_partkey, p_type, CAST(p_type = 'ECONOMY' AS INTEGER) AS type_ECONOMY,
-               CAST(p_type = 'STANDARD' AS INTEGER) AS type_STANDARD,
-               CAST(p_type = 'PROMO' AS INTEGER) AS type_PROMO FROM part""",
+               CAST(p_type = 'LARGE' AS INTEGER) AS type_LARGE,
+               CAST(p_type = 'MEDIUM' AS INTEGER) AS type_MEDIUM,
+               CAST(p_type = 'PROMO' AS INTEGER) AS type_PROMO,
+               CAST(p_type = 'SMALL' AS INTEGER) AS type_SMALL,
+               CAST(p_type = 'STANDARD' AS INTEGER) AS type_STANDARD FROM part""",
     "corr_brand_hatchery": correlations(LINE_MEMBERS, "rows_", "members"),
     "corr_brand_hatchery_mortality": correlations(HEAD_MEMBERS, "rows_", "members"),
     "corr_price_band": correlations(PRICE_MEMBERS, "rows_", "members"),
     "corr_feed_brand": correlations(FEED_MEMBERS, "rows_", "members"),
-    "corr_pivot_report": f"""
-        WITH long AS ({correlations(LINE_MEMBERS, "rows_", "members")})
-        SELECT feature, {
-        ", ".join(
-            f"max(CASE WHEN month || ' ' || CAST(year % 100 AS VARCHAR) || ' : week '"
-            f" || CAST(week_of_month AS VARCHAR) = '{label}' THEN r END) AS \"{label}\""
-            for label in PIVOT_LABELS
-        )
-    } FROM long WHERE year IN (1996, 1997) AND week_of_month <= 5 GROUP BY feature""",
+    "corr_pivot_report": pivoted(PIVOT_LABELS),
+    "corr_pivot_full": pivoted(FULL_LABELS),
     "performance_index": performance_report("", "", ""),
     "performance_index_filtered": performance_report(
         "WHERE cycle_start BETWEEN DATE '2024-01-08' AND DATE '2024-01-22'",
@@ -781,4 +795,14 @@ ORACLES: dict[str, str] = {
         SELECT o.* FROM orders_ o
         WHERE NOT EXISTS (SELECT 1 FROM newest n
             WHERE n.o_orderkey = o.o_orderkey AND n.o_orderstatus = o.o_orderstatus)""",
+    "sink_upsert_null_partition": """
+        WITH old AS (
+            SELECT CASE WHEN o_orderstatus <> 'P' THEN '0' || ascii(o_orderstatus) END AS part,
+                   o_orderkey AS k, o_totalprice AS v FROM orders),
+        new AS (
+            SELECT part, CASE WHEN k % 5 = 0 THEN -k ELSE k END AS k, v + 1 AS v FROM old
+            WHERE k % 3 = 0 AND part IS DISTINCT FROM '070')
+        SELECT part, k, v FROM new
+        UNION ALL SELECT o.part, o.k, o.v FROM old o WHERE NOT EXISTS (
+            SELECT 1 FROM new n WHERE n.k = o.k AND n.part IS NOT DISTINCT FROM o.part)""",
 }

@@ -11,14 +11,22 @@ from pyspark.sql import types as T
 
 from broodline.functions.calendar import bucket_label, calendar_parts, week_of_month
 from broodline.functions.numeric import age_band, growth_rate, or_zero, percent, price_band
-from broodline.functions.text import canonicalize, capitalize, compound, recode, to_day, to_number
+from broodline.functions.text import (
+    DAY_FORMATS,
+    canonicalize,
+    capitalize,
+    compound,
+    recode,
+    to_day,
+    to_number,
+)
 from broodline.operators import profile as facts
 from broodline.operators.aggregate import family_columns, one_hot, row_sums, used_families
 from broodline.operators.association import correlation_report
 from broodline.operators.cleanse import CleanseRules, cleanse
 from broodline.operators.filters import last_n_days, one_of, within_range
 from broodline.operators.fuzzy import fuzzy_topk_join
-from broodline.operators.impute import exact_median, fill_missing, mode_value
+from broodline.operators.impute import exact_median, fill_missing, mode_value, present
 from broodline.operators.joins import join_normalized, join_renamed, require_unique
 from broodline.operators.windows import (
     blocked_delta,
@@ -194,9 +202,14 @@ def coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("coerce_date")
 def coerce_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days in ISO and four other spellings; every third text is unreadable."""
+    key = F.col("o_orderkey")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    text = F.when(F.col("o_orderkey") % 3 == 0, F.concat(day, F.lit("?"))).otherwise(day)
-    return b.table(spark, sf_dir, "orders").select("o_orderkey", to_day(text).alias("day"))
+    text = F.when(key % 3 == 0, F.concat(day, F.lit("?")))
+    for remainder, spelling in enumerate(DAY_FORMATS):
+        text = text.when(key % 7 == remainder, F.date_format("o_orderdate", spelling))
+    orders = b.table(spark, sf_dir, "orders")
+    return orders.select("o_orderkey", to_day(text.otherwise(day), DAY_FORMATS).alias("day"))
 
 
 @query("age_band")
@@ -254,6 +267,15 @@ def impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(part.withColumn("price", fill_missing("price", exact_median(part, "price"))))
 
 
+@query("impute_median_nan")
+def impute_median_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NaN prices count as missing, in the median and where it fills in."""
+    price = F.when(F.col("p_partkey") % 17 != 0, F.col("p_retailprice")).otherwise(float("nan"))
+    part = b.table(spark, sf_dir, "part").select("p_partkey", price.alias("price"))
+    filled = fill_missing("price", exact_median(part, "price"), present(part, "price"))
+    return rounded(part.withColumn("price", filled))
+
+
 @query("impute_mode")
 def impute_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = b.labelled_documents(spark, sf_dir).select("doc_id", "quality", "toxic")
@@ -548,7 +570,7 @@ def wide_row_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("one_hot")
 def one_hot_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ["ECONOMY", "STANDARD", "PROMO"]
+    kinds = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
     return one_hot(b.table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", kinds, "type")
 
 
@@ -592,6 +614,12 @@ def corr_pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correlation_report(corr_brand_hatchery(spark, sf_dir), [1996, 1997], 5, 50)
 
 
+@query("corr_pivot_full")
+def corr_pivot_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every year and all six weeks of a month."""
+    return correlation_report(corr_brand_hatchery(spark, sf_dir), list(range(1995, 2002)))
+
+
 # --- plans -------------------------------------------------------------------
 
 AREAS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
@@ -810,6 +838,23 @@ def sink_upsert_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query("sink_upsert_null_partition")
+def sink_upsert_null_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partition values that look like numbers, and a NULL partition; one is left untouched."""
+    status = F.col("o_orderstatus")
+    part = F.when(status != "P", F.concat(F.lit("0"), F.ascii(status).cast("string")))
+    old = b.table(spark, sf_dir, "orders").select(
+        part.alias("part"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")
+    )
+    changes = old.where((F.col("k") % 3 == 0) & ~F.col("part").eqNullSafe("070")).select(
+        "part", F.when(F.col("k") % 5 == 0, -F.col("k")).otherwise(F.col("k")).alias("k"), (F.col("v") + 1).alias("v")
+    )
+    path = scratch_path(spark, "orders")
+    write_overwrite(old, path, partition_by=["part"])
+    upsert_partitions(spark, path, changes, ["part", "k"], [F.col("v").desc()], ["part"])
+    return spark.read.schema("k long, v double, part string").parquet(path)
+
+
 def _order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = b.table(spark, sf_dir, "orders")
     return orders.select(F.col("o_orderdate").cast("date").alias("day")).distinct()

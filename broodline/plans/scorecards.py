@@ -14,14 +14,6 @@ from broodline.operators.windows import latest_n, spread_ranked
 # Fixed value: cycles per scorecard.
 RECENT = 7
 
-# Spellings of hatchery names and their report form.
-HATCHERY_SPELLINGS = {
-    "serang": "Serang",
-    "Sukabumi-Tangerang": "Sukabumi",
-    "Bogor & Sukabumi": "Bogor",
-    "Tangeran": "Tangerang",
-}
-
 
 def recent_scorecard(
     df: DataFrame,

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def write_overwrite(
@@ -67,11 +68,11 @@ def merge_upsert(
     """Target rows with the changes applied: per key the newest change replaces the row.
 
     A row of ``changes`` replaces **all** columns of the target row with its key,
-    or is added. ``newest_first`` decides between several changes of one key.
+    or is added. NULLs in a key count as equal. ``newest_first`` decides between several changes of one key.
     """
     keys = list(keys)
     newest = newest_changes(changes, keys, newest_first).select(*target.columns)
-    return target.join(newest.select(*keys), keys, "left_anti").unionByName(newest)
+    return _matching(target, newest, keys, "left_anti").unionByName(newest)
 
 
 def write_upsert(
@@ -106,18 +107,41 @@ def upsert_partitions(
     """Upsert in place into a partitioned table, rewriting only touched partitions.
 
     The partition columns must be among the keys, so that no change moves a row
-    to another partition. New files are staged and swapped in on commit.
+    to another partition. They keep the types they have in ``changes``, so text
+    such as ``01`` stays text; NULL partitions are rewritten like others. New files
+    are staged, but the commit removes the old files of a touched partition before
+    it moves the new ones in: where a driver lost in between must not lose rows, use
+    :func:`write_upsert`.
     """
     if not set(partition_by) <= set(keys):
         raise ValueError("partition columns must be part of the key")
-    target = spark.read.parquet(target_path)
-    touched = changes.select(*partition_by).distinct()
-    affected = target.join(touched, list(partition_by), "left_semi").select(*target.columns)
+    target = _with_partition_types(spark, target_path, changes, partition_by)
+    affected = _matching(target, changes.select(*partition_by).distinct(), partition_by, "left_semi")
     merged = merge_upsert(affected, changes, keys, newest_first)
     writer = merged.write.mode("overwrite").partitionBy(*partition_by)
     writer.option("partitionOverwriteMode", "dynamic").parquet(target_path)
 
 
+def _matching(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join in which NULL keys match each other."""
+    marked = {name: f"__other_{name}" for name in keys}
+    side = other.select(*keys).withColumnsRenamed(marked)
+    same = [F.col(f"`{a}`").eqNullSafe(F.col(f"`{b}`")) for a, b in marked.items()]
+    return df.join(side, same, how)
+
+
+def _with_partition_types(
+    spark: SparkSession, path: str, changes: DataFrame, partition_by: Sequence[str]
+) -> DataFrame:
+    """The table at ``path`` with its partition columns read as the types in ``changes``."""
+    found = spark.read.parquet(path)
+    given = {name: changes.schema[name].dataType for name in partition_by}
+    schema = T.StructType(
+        [T.StructField(f.name, given.get(f.name, f.dataType)) for f in found.schema]
+    )
+    return spark.read.schema(schema).parquet(path)
+
+
 def _writer(df: DataFrame, fmt: str, partition_by: Sequence[str], options: dict[str, Any]):
     writer = df.write.format(fmt).options(**options)
     return writer.partitionBy(*partition_by) if partition_by else writer

@@ -17,6 +17,7 @@ from broodline.functions.text import (
     compound,
     normalized_key,
     recode,
+    DAY_FORMATS,
     to_day,
     to_number,
 )
@@ -84,6 +85,14 @@ def test_to_number_takes_numbers_only(spark):
     ]
 
 
+def test_to_day_spellings_and_strict(spark):
+    data = [("2021-01-06",), ("2021/1/6",), ("6 Jan 2021",), (" ",), (None,)]
+    day = dt.date(2021, 1, 6)
+    assert values(spark, "v string", data, to_day("v", DAY_FORMATS, strict=True)) == [day, day, day, None, None]
+    with pytest.raises(Exception, match="not a day"):
+        values(spark, "v string", [("soon",)], to_day("v", DAY_FORMATS, strict=True))
+
+
 def test_to_day(spark):
     data = [("2024-02-29",), ("2024-02-30",), ("zz",), (None,), ("2024-01-05 10:00:00",)]
     assert values(spark, "v string", data, to_day("v")) == [
@@ -123,8 +132,9 @@ def test_calendar(spark):
 
 
 def test_bucket_headings():
-    assert len(bucket_headings([2021, 2022])) == 120
-    assert bucket_headings([2021, 2022], skip=50)[0] == "Nov 21 : week 1"
+    assert len(bucket_headings([2021, 2022])) == 144
+    assert len(bucket_headings([2021, 2022], 5)) == 120
+    assert bucket_headings([2021, 2022], 5, skip=50)[0] == "Nov 21 : week 1"
 
 
 def test_age_band_edges(spark):

@@ -5,7 +5,7 @@ from broodline.operators.joins import join_renamed
 from broodline.plans import performance_index as pi
 from broodline.plans.age_bands import population_by_age_band
 from broodline.plans.registry import QUERIES
-from broodline.plans.scorecards import HATCHERY_SPELLINGS, recent_scorecard
+from broodline.plans.scorecards import recent_scorecard
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -127,10 +127,10 @@ def test_population_keeps_unmatched_units_and_skips_old_bands(spark):
 
 def test_scorecard_variants(spark):
     data = [
-        (i, dt.date(2024, 1, 1 + i), "A" if i % 2 else "a", "serang", "f", 0.01 * i, "40", "100")
+        (i, dt.date(2024, 1, 1 + i), "A" if i % 2 else "a", "norhill", "f", 0.01 * i, "40", "100")
         for i in range(9)
     ]
-    data += [(50, DAY, "B", None, None, 0.1, "0", "x"), (51, DAY, "B", "Bogor", "g", 2.0, "40", "90")]
+    data += [(50, DAY, "B", None, None, 0.1, "0", "x"), (51, DAY, "B", "Westmere", "g", 2.0, "40", "90")]
     heads = spark.createDataFrame(
         data,
         "unit int, cycle_start date, doc string, hatchery string, feed string,"
@@ -139,20 +139,20 @@ def test_scorecard_variants(spark):
 
     def card(**choice):
         return recent_scorecard(
-            heads, brand_recodes={"a": "A"}, place_recodes=HATCHERY_SPELLINGS, **choice
+            heads, brand_recodes={"a": "A"}, place_recodes={"norhill": "Norhill"}, **choice
         )
 
     both = card().collect()
-    assert [r["grp"] for r in both] == ["A_Serang"]
+    assert [r["grp"] for r in both] == ["A_Norhill"]
     assert [both[0][f"unit_{i}"] for i in range(1, 8)] == [8, 7, 6, 5, 4, 3, 2]
     assert (both[0]["mortality_8_1"], both[0]["growth_1"]) == (8.0, 2.5)
     assert sorted(r["grp"] for r in card(kind_only=True).collect()) == ["A"]
-    assert sorted(r["grp"] for r in card(inplace=False).collect()) == ["Serang"]
+    assert sorted(r["grp"] for r in card(inplace=False).collect()) == ["Norhill"]
     feed = {r["grp"]: r for r in card(kind="feed").collect()}
-    assert set(feed) == {"f_Serang", "g_Bogor"}
-    assert feed["g_Bogor"]["mortality_8_1"] == 2.0 and feed["g_Bogor"]["unit_2"] is None
+    assert set(feed) == {"f_Norhill", "g_Westmere"}
+    assert feed["g_Westmere"]["mortality_8_1"] == 2.0 and feed["g_Westmere"]["unit_2"] is None
     assert sorted(r["grp"] for r in card(kind="feed", kind_only=True).collect()) == ["f", "g"]
-    assert sorted(r["grp"] for r in card(kind="feed", inplace=False).collect()) == ["Bogor", "Serang"]
+    assert sorted(r["grp"] for r in card(kind="feed", inplace=False).collect()) == ["Norhill", "Westmere"]
     with pytest.raises(ValueError):
         card(kind="water")
 

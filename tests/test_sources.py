@@ -71,6 +71,17 @@ def test_upsert_partitions_leaves_other_partitions_alone(spark, folder):
         upsert_partitions(spark, folder, changes, ["k"], newest, ["p"])
 
 
+def test_upsert_partitions_keeps_null_and_number_like_partitions(spark, folder):
+    schema = "p string, k int, v string"
+    base = [(None, 1, "a"), (None, 2, "b"), (None, 3, "c"), ("01", 1, "d"), ("1", 1, "e")]
+    write_overwrite(spark.createDataFrame(base, schema), folder, partition_by=["p"])
+    changes = spark.createDataFrame([(None, 4, "n"), (None, 2, "B"), ("01", 1, "D")], schema)
+    upsert_partitions(spark, folder, changes, ["p", "k"], [F.col("v").desc()], ["p"])
+    found = spark.read.schema("k int, v string, p string").parquet(folder).select("p", "k", "v")
+    expected = [("01", 1, "D"), ("1", 1, "e"), (None, 1, "a"), (None, 2, "B"), (None, 3, "c"), (None, 4, "n")]
+    assert rows(found) == sorted(expected, key=repr)
+
+
 def test_overwrite_append(spark, folder, target):
     write_overwrite(target, f"{folder}/t")
     write_overwrite(target.where("k = 1"), f"{folder}/t")

@@ -234,3 +234,12 @@ def test_calendar_bucket_of_new_year(spark):
     dated = df.withColumn("d", F.lit(dt.date(2022, 1, 1))).withColumns(calendar_parts("d"))
     found = indicator_correlation(dated, ["b"], F.array("b"), "y")
     assert {(r["year"], r["month"], r["week_of_month"]) for r in found.collect()} == {(2021, "Jan", 1)}
+
+
+def test_nan_is_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (nan,), (nan,)], "v double")
+    assert df.select(exact_median(df, "v")).first()[0] == 2.0
+    assert df.select(mode_value(df, "v")).first()[0] == 1.0
+    assert rows(facts.null_counts(df)) == [("v", 2, 40.0)]
+
