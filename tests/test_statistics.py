@@ -138,12 +138,18 @@ def test_feed_brands_parse_whole_names(spark):
 def test_correlation_report_grid(spark):
     data = [(2021, "Jan", 1, "a", 0.5), (2022, "Dec", 5, "b", 0.1), (2022, "Dec", 6, "b", 0.2), (2020, "Jan", 1, "c", 0.3)]
     df = spark.createDataFrame(data, "year int, month string, week_of_month int, feature string, r double")
-    report = correlation_report(df, [2021, 2022])
+    assert len(correlation_report(df, [2021, 2022]).columns) == 145
+    report = correlation_report(df, [2021, 2022], 5)
     assert len(report.columns) == 121
-    assert [r["feature"] for r in report.collect()] == ["b", "a"]
-    assert report.collect()[1]["Jan 21 : week 1"] == 0.5
+    found = report.collect()
+    assert [r["feature"] for r in found] == ["c", "b", "a"]
+    assert found[2]["Jan 21 : week 1"] == 0.5
+    assert set(found[0].asDict().values()) == {"c", None}
     renamed = correlation_report(df, [2021, 2022], label_map={"a": "Z"}, descending=False)
-    assert [r["feature"] for r in renamed.collect()] == ["Z", "b"]
+    assert [r["feature"] for r in renamed.collect()] == ["Z", "b", "c"]
+    listed = spark.createDataFrame([("a",), ("d",), (None,)], "name string")
+    listed_report = correlation_report(df, [2021, 2022], features=listed)
+    assert [r["feature"] for r in listed_report.collect()] == ["d", "a"]
     assert "Jan 21 : week 1" not in correlation_report(df, [2021, 2022], skip_buckets=50).columns
 
 
