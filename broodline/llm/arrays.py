@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes or code points handled at once; bounds the working arrays of a task.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -145,6 +145,7 @@ def per_batch(
         for batch in batches:
             for part in slices(batch):
                 yield work(part)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -237,7 +237,7 @@ def search(
             new = matches(index, hashes[own], rolled[own.start : own.stop], at, words, coverage)
             found[k] = sorted(found[k] + new, key=lambda m: repr(m["item_id"]))
         last = pa.array(found, type=batch.schema.field(len(names) - 1).type)
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], last], names)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], last], schema=batch.schema)
 
     return per_batch(docs, work, schema)
 

@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from broodline.llm.arrays import BLOCK, PLAIN_WORDS, U64, ascii_lower, span_hashes, utf8, worker_store
 
 #: Units, and pieces of units, that a worker remembers; a full store starts afresh.
-REMEMBERED, PIECES = 3_000_000, 800_000
+REMEMBERED, PIECES = 700_000, 150_000
 #: How byte-level vocabularies split a text (fixed value of that family of tokenizers).
 BYTE_LEVEL_SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
