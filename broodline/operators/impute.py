@@ -28,48 +28,60 @@ def mode_value(df: DataFrame, column: str) -> Column:
     )
 
 
-def exact_median(df: DataFrame, column: str, resolution: int = 10_000) -> Column:
+def exact_median(df: DataFrame, column: str, accuracy: int = 10_000, slots: int = 4096) -> Column:
     """Interpolated median as a scalar subquery, with no task holding all values.
 
-    Values fall into slots by a fixed increasing function, about ``1 / resolution``
-    of their size wide. Counting per slot is a map-side aggregation; the running
-    count over the slots tells which one or two hold the middle ranks, and only
-    their distinct values are ordered. Slots decide how much is ordered, never
-    the result.
+    A quantile sketch brackets the middle ranks; its error is at most ``1 / accuracy``
+    of the rows, so a bracket of four times that on either side holds them. Values
+    are then counted, those below and above the bracket as two groups, those inside
+    by value within slots of equal width. The running count over the slots (at most
+    ``slots`` + 2 rows) tells which one or two hold the middle ranks, and only the
+    distinct values of these are ordered. The bracket decides how much is ordered,
+    never the result: a middle rank outside it raises.
     """
     value = F.col("v")
-    slot = F.floor(F.signum(value) * F.log1p(F.abs(value)) * resolution)
     values = df.select(F.col(column).cast("double").alias("v"))
     values = values.where(value.isNotNull() & ~F.isnan("v"))
-    values = values.withColumn("slot", slot)
+    margin = 4 / accuracy
+    bracket = values.agg(
+        F.percentile_approx("v", [0.5 - margin, 0.5 + margin], accuracy).alias("ends")
+    ).scalar()
+    low, high = bracket[0], bracket[1]
+    place = F.floor((value - low) / (high - low) * slots)
+    slot = (
+        F.when(value < low, -1)
+        .when(value > high, slots)
+        .when((high > low) & (high - low < float("inf")), F.least(place, F.lit(slots - 1)))
+        .otherwise(0)
+    )
+    inside = F.col("slot").between(0, slots - 1)
+    folded = (
+        values.withColumn("slot", slot.cast("int"))
+        .groupBy("slot", F.when(inside, value).alias("v"))
+        .agg(F.count(F.lit(1)).alias("times"))
+    )
 
     running = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.orderBy("slot").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
     middle = [F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1]
+    missed = F.raise_error(F.lit("the middle ranks lie outside the bracket")).cast("boolean")
+    holds = (F.col("upto") >= middle[0]) & (F.col("upto") - F.col("held") < middle[1])
     chosen = (
-        values.groupBy("slot")
-        .agg(F.count(F.lit(1)).alias("held"))
+        folded.groupBy("slot")
+        .agg(F.sum("times").alias("held"))
         .withColumns({"upto": F.sum("held").over(running), "n": F.sum("held").over(everything)})
-        .where((F.col("upto") >= middle[0]) & (F.col("upto") - F.col("held") < middle[1]))
+        .where(F.when(~holds, F.lit(False)).when(inside, F.lit(True)).otherwise(missed))
         .select("slot", (F.col("upto") - F.col("held")).alias("before"), "n")
     )
     # Two neighbouring ranks lie in at most two slots, so at most two rows are broadcast.
-    ranked = (
-        values.join(F.broadcast(chosen), "slot")
-        .groupBy("slot", "before", "n", "v")
-        .agg(F.count(F.lit(1)).alias("times"))
-        .withColumn(
-            "upto",
-            F.col("before")
-            + F.sum("times").over(
-                Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-            ),
-        )
+    in_slot = Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = folded.join(F.broadcast(chosen), "slot").withColumn(
+        "upto", F.col("before") + F.sum("times").over(in_slot)
     )
-    low, high = [F.min(F.when(F.col("upto") >= rank, value)) for rank in middle]
-    return ranked.agg(((low + high) / 2).alias("median")).scalar()
+    first, second = [F.min(F.when(F.col("upto") >= rank, value)) for rank in middle]
+    return ranked.agg(((first + second) / 2).alias("median")).scalar()
 
 
 def fill_missing(column: str, value: Column, found: Column | None = None) -> Column:

@@ -74,6 +74,8 @@ def skew_joined(
     into tiles: each side is split into slices of about ``block`` rows and meets
     every slice of the other side once. Keys below ``block`` on both sides get
     one tile. Meant for joins whose caller filters the pairs in the same stage.
+    A slice follows from the whole row, so a retried task repeats it; equal rows
+    share a slice, and callers with many of them fold them to counts first.
     """
     keys = list(keys)
     one, none = F.lit(1).alias("n_l"), F.lit(0).alias("n_r")

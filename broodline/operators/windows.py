@@ -38,31 +38,44 @@ def running_mean_where(value: Column | str, condition: Column, window: WindowSpe
 
 
 def blocked_running_sum(
-    df: DataFrame, value: str, keys: Sequence[str], order: str, block: Column, out: str
+    df: DataFrame,
+    value: str,
+    keys: Sequence[str],
+    order: str,
+    block: Column,
+    out: str,
+    span: Column | None = None,
 ) -> DataFrame:
     """:func:`running_sum` for groups of any size.
 
     Rows tied on the order column share a result, so they are summed first (map
     side), which leaves one row per key and order value. ``block`` must never
     decrease as the order column grows; no task holds more than one block of one
-    group, or one group's block totals.
+    group, or one group's block totals. For groups of very many blocks give ``span``,
+    a coarser block made of whole blocks: totals are then carried within spans and
+    across spans, and no task holds more than the blocks of one span.
     """
     keys = list(keys)
+    spans = [] if span is None else ["__span"]
     peers = (
         df.groupBy(*keys, order)
         .agg(F.sum(value).alias("__peer_sum"))
-        .withColumn("__block", block)
+        .withColumns({"__block": block} | ({} if span is None else {"__span": span}))
     )
     inside = Window.partitionBy(*keys, "__block").orderBy(order)
-    before = (
-        Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = (
-        peers.groupBy(*keys, "__block")
-        .agg(F.sum("__peer_sum").alias("__block_sum"))
-        .withColumn("__carry", F.sum("__block_sum").over(before))
-        .drop("__block_sum")
-    )
+    earlier = (Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys, *spans).orderBy("__block").rowsBetween(*earlier)
+    sums = peers.groupBy(*keys, *spans, "__block").agg(F.sum("__peer_sum").alias("__block_sum"))
+    carried = sums.withColumn("__carry", F.sum("__block_sum").over(before)).drop("__block_sum")
+    if spans:
+        across = Window.partitionBy(*keys).orderBy("__span").rowsBetween(*earlier)
+        whole = sums.groupBy(*keys, "__span").agg(F.sum("__block_sum").alias("__span_sum"))
+        whole = whole.withColumn("__base", F.sum("__span_sum").over(across)).drop("__span_sum")
+        carry = F.when(F.col("__base").isNull(), F.col("__carry")).otherwise(
+            F.col("__base") + F.coalesce("__carry", F.lit(0))
+        )
+        carried = _join_null_safe(carried, whole, [*keys, "__span"])
+        carried = carried.withColumn("__carry", carry).drop("__span", "__base")
     partial = peers.withColumn("__partial", F.sum("__peer_sum").over(inside))
     totals = _join_null_safe(partial, carried, [*keys, "__block"]).select(
         *keys,
@@ -75,19 +88,35 @@ def blocked_running_sum(
 
 
 def blocked_delta(
-    df: DataFrame, value: str, keys: Sequence[str], order: str, block: Column, out: str
+    df: DataFrame,
+    value: str,
+    keys: Sequence[str],
+    order: str,
+    block: Column,
+    out: str,
+    span: Column | None = None,
 ) -> DataFrame:
-    """:func:`delta` for groups of any size; the order column is unique per group."""
+    """:func:`delta` for groups of any size; the order column is unique per group.
+
+    ``block`` and ``span`` as in :func:`blocked_running_sum`.
+    """
     keys = list(keys)
-    cut = df.withColumn("__block", block)
+    spans = [] if span is None else ["__span"]
+    cut = df.withColumns({"__block": block} | ({} if span is None else {"__span": span}))
     inside = Window.partitionBy(*keys, "__block").orderBy(order)
-    across = Window.partitionBy(*keys).orderBy("__block")
-    carried = (
-        cut.groupBy(*keys, "__block")
-        .agg(F.max_by(value, order).alias("__last"))
-        .withColumn("__carry", F.lag("__last").over(across))
-        .drop("__last")
-    )
+    across = Window.partitionBy(*keys, *spans).orderBy("__block")
+    lasts = cut.groupBy(*keys, *spans, "__block").agg(F.max_by(value, order).alias("__last"))
+    carried = lasts.withColumn("__carry", F.lag("__last").over(across))
+    if spans:
+        ends = lasts.groupBy(*keys, "__span").agg(F.max_by("__last", "__block").alias("__end"))
+        over_spans = Window.partitionBy(*keys).orderBy("__span")
+        ends = ends.withColumn("__base", F.lag("__end").over(over_spans)).drop("__end")
+        carried = carried.withColumn("__first", F.row_number().over(across) == 1)
+        carried = _join_null_safe(carried, ends, [*keys, "__span"])
+        carry = F.when(F.col("__first"), F.col("__base")).otherwise(F.col("__carry"))
+        carried = carried.withColumn("__carry", carry).drop("__span", "__base", "__first")
+        cut = cut.drop("__span")
+    carried = carried.drop("__last")
     ranked = cut.withColumns(
         {"__position": F.row_number().over(inside), "__lag": F.lag(value).over(inside)}
     )

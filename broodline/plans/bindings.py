@@ -88,7 +88,7 @@ def cycle_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per unit: officer, manager and area."""
+    """One row per unit: officer, manager, area and partnership."""
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
     return (
@@ -100,6 +100,7 @@ def unit_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_mktsegment").alias("officer"),
             F.col("n_name").alias("manager"),
             F.col("r_name").alias("area"),
+            F.when(F.col("c_acctbal") < 3000, "partner").otherwise("own").alias("partnership"),
         )
     )
 
@@ -130,6 +131,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
             kg.alias("kg"),
             (1 + F.col("event_id") % 3).alias("birds"),
             (kg * 20).cast(MONEY).alias("amount"),
+            (800 + F.col("event_id") % 1500).alias("weight"),
         )
     )
 

@@ -73,7 +73,8 @@ cycle_metrics AS (
 
 UNIT_DIM = """
 unit_dim AS (
-    SELECT c_custkey AS unit, c_mktsegment AS officer, n_name AS manager, r_name AS area
+    SELECT c_custkey AS unit, c_mktsegment AS officer, n_name AS manager, r_name AS area,
+           CASE WHEN c_acctbal < 3000 THEN 'partner' ELSE 'own' END AS partnership
     FROM customer
     JOIN nation ON c_nationkey = n_nationkey
     JOIN region ON n_regionkey = r_regionkey
@@ -93,13 +94,13 @@ SALES = """
 sales AS (
     SELECT user_id AS unit, CAST(ts AS DATE) AS sale_date,
            CAST(value AS DECIMAL(18,2)) AS kg, 1 + event_id % 3 AS birds,
-           CAST(value AS DECIMAL(18,2)) * 20 AS amount
+           CAST(value AS DECIMAL(18,2)) * 20 AS amount, 800 + event_id % 1500 AS weight
     FROM events
     WHERE event_type = 'purchase'
 ),
 daily_sales AS (
     SELECT unit, sale_date, CAST(sum(kg) AS DOUBLE) AS kg, CAST(sum(birds) AS BIGINT) AS birds,
-           CAST(sum(amount) AS DOUBLE) AS amount
+           CAST(sum(amount) AS DOUBLE) AS amount, CAST(sum(weight) AS BIGINT) AS weight
     FROM sales
     WHERE amount > 0 OR kg > 0
     GROUP BY unit, sale_date
@@ -449,6 +450,26 @@ def pivoted(labels: list[str]) -> str:
 
 ORACLES: dict[str, str] = {
     "scan_table": "SELECT * FROM customer",
+    "search_path_scan": """
+        SELECT nation.*, r_name FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "catalog_views": """
+        SELECT r_name, count(*) AS suppliers, max(s_acctbal) AS most
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""",
+    "intake_profile": """
+        WITH named AS (SELECT count(DISTINCT c_mktsegment) AS d,
+            string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) AS v FROM customer)
+        SELECT 'table' AS section, NULL AS "column", 'row_count' AS metric,
+               CAST(count(*) AS DOUBLE) AS value, NULL AS listing FROM customer
+        UNION ALL SELECT 'table', NULL, 'column_count', 5, NULL
+        UNION ALL SELECT 'table', NULL, 'duplicate_rows', 0, NULL
+        UNION ALL SELECT 'table', NULL, 'duplicate_pct', 0, NULL
+        UNION ALL SELECT 'low_cardinality', 'c_mktsegment', 'n_distinct', d, v FROM named""",
+    "intake_cleansed": """
+        SELECT DISTINCT c_custkey, c_nationkey, c_acctbal,
+               CASE c_mktsegment WHEN 'BUILDING' THEN 'Building' WHEN 'MACHINERY' THEN NULL
+                    ELSE c_mktsegment END AS c_mktsegment
+        FROM customer WHERE c_acctbal > 0""",
     "read_many_union": """
         SELECT c_custkey AS party, c_acctbal AS balance, c_mktsegment, 'customer' AS source
         FROM customer
@@ -648,6 +669,27 @@ ORACLES: dict[str, str] = {
         87.5,
         5,
     ),
+    "fuzzy_topk_join_long": f"""
+WITH lefts AS (SELECT p_partkey, p_name, concat_ws(' ', concat_ws(' ', p_type, p_name, p_brand),
+        'of part number', p_partkey, concat_ws(' ', p_type, p_name, p_brand)) AS name FROM part),
+cleaned AS (SELECT DISTINCT name, trim(lower(regexp_replace(name, '[^a-zA-Z0-9_]', ' ', 'g'))) AS t
+    FROM lefts),
+choices AS (SELECT DISTINCT {MISSPELT.replace("p_name", "name")} AS b FROM lefts),
+compared AS (SELECT b, trim(lower(regexp_replace(b, '[^a-zA-Z0-9_]', ' ', 'g'))) AS u FROM choices),
+near AS (SELECT name, b, t, u, levenshtein(t, u) AS edits FROM cleaned JOIN compared
+    ON abs(length(t) - length(u)) <= 0.05 * greatest(length(t), length(u))),
+best AS (SELECT name, arg_min(b, (edits / greatest(length(t), length(u)), b)) AS matches FROM near
+    WHERE 100 * edits <= 5 * greatest(length(t), length(u)) GROUP BY name)
+SELECT p_partkey, lefts.name, coalesce(matches, '') AS matches FROM lefts
+LEFT JOIN best ON lefts.name = best.name""",
+    "fuzzy_topk_join_any_order": """
+WITH turned AS (SELECT DISTINCT array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS b
+    FROM part),
+sorted AS (SELECT min(b) AS b,
+    array_to_string(list_sort(string_split(trim(lower(regexp_replace(b, '[^a-zA-Z0-9_]', ' ', 'g'))), ' ')), ' ') AS t
+    FROM turned GROUP BY t)
+SELECT p_partkey, p_name, coalesce(b, '') AS matches FROM part LEFT JOIN sorted
+ON t = array_to_string(list_sort(string_split(trim(lower(regexp_replace(p_name, '[^a-zA-Z0-9_]', ' ', 'g'))), ' ')), ' ')""",
     "fuzzy_topk_join_prefixed": fuzzy(
         "SELECT s_suppkey, s_name FROM supplier",
         "SELECT replace(s_name, 'Supp', 'Sup') AS name FROM supplier",
@@ -657,7 +699,8 @@ ORACLES: dict[str, str] = {
         3,
     ),
     "agg_sales_daily": f"""WITH {SALES}
-        SELECT unit, sale_date, kg, birds, amount, round(amount / nullif(kg, 0), 6) AS price_per_kg
+        SELECT unit, sale_date, kg, birds, amount, weight,
+               round(amount / nullif(kg, 0), 6) AS price_per_kg
         FROM daily_sales""",
     "distinct_project": f"""WITH {UNIT_DIM}
         SELECT DISTINCT officer, manager, area FROM unit_dim""",
@@ -694,7 +737,7 @@ ORACLES: dict[str, str] = {
     "performance_index_filtered": performance_report(
         "WHERE cycle_start BETWEEN DATE '2024-01-08' AND DATE '2024-01-22'",
         "WHERE officer IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')"
-        " AND area IN ('ASIA', 'AFRICA', 'EUROPE')",
+        " AND area IN ('ASIA', 'AFRICA', 'EUROPE') AND partnership IN ('own')",
         "WHERE period IN (2, 3, 4)",
     ),
     "population_by_age_band": f"""WITH {CYCLE_DAILY}, {UNIT_DIM},

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broodline.functions.numeric import or_zero, zero_guarded_ratio
@@ -81,7 +81,11 @@ def cycle_metrics(cycles: DataFrame) -> DataFrame:
 
 
 def daily_sales(sales: DataFrame) -> DataFrame:
-    """Sales per unit and day with the weighted price per kilogram."""
+    """Sales per unit and day with the weighted price per kilogram.
+
+    Actual weights are summed where the table has them (column ``weight``).
+    """
+    weights = [F.sum("weight").alias("weight")] if "weight" in sales.columns else []
     return (
         sales.where((F.col("amount") > 0) | (F.col("kg") > 0))
         .groupBy("unit", "sale_date")
@@ -89,6 +93,7 @@ def daily_sales(sales: DataFrame) -> DataFrame:
             F.sum("kg").alias("kg"),
             F.sum("birds").alias("birds"),
             F.sum("amount").alias("amount"),
+            *weights,
             ratio_of_sums(F.col("amount").cast("double"), F.col("kg").cast("double")).alias(
                 "price_per_kg"
             ),
@@ -109,13 +114,18 @@ def with_standard(days: DataFrame, standard: DataFrame) -> DataFrame:
 
 
 def with_index(days: DataFrame, sales_by_day: DataFrame) -> DataFrame:
-    """Add ``valid`` and ``ip``: the index of each day, NULL on days without one."""
+    """Add ``valid`` and ``ip``: the index of each day, NULL on days without one.
+
+    Where sales have weights, ``weight_sold`` is their sum of the day, 0 without sales.
+    """
+    weights = ["weight"] if "weight" in sales_by_day.columns else []
     window = by_age(CYCLE, "age")
     sold = sales_by_day.select(
         F.col("unit").alias("sale_unit"),
         "sale_date",
         F.col("kg").alias("sold_kg"),
         F.col("birds").alias("sold_birds"),
+        *[F.col(name).alias("weight_sold") for name in weights],
     )
     merged = join_renamed(days, sold, {"unit": "sale_unit", "obs_date": "sale_date"}, "left")
     age, living = F.col("age"), F.col("living")
@@ -125,6 +135,8 @@ def with_index(days: DataFrame, sales_by_day: DataFrame) -> DataFrame:
         feed_conversion=F.try_divide(F.col("cum_feed"), F.col("total_kg")),
         mean_age=F.try_divide(F.col("age_sold_cum") + age * F.col("pop_end"), living),
     )
+    if weights:
+        merged = merged.withColumn("weight_sold", or_zero("weight_sold"))
     valid = (F.col("bw") > 0) & (F.col("initial_pop") > 0) & (F.col("total_kg") > 0)
     return (
         merged.withColumns(
@@ -142,6 +154,19 @@ def with_index(days: DataFrame, sales_by_day: DataFrame) -> DataFrame:
     )
 
 
+def index_by_key(days: DataFrame) -> DataFrame:
+    """Every day once per valid index of its key, with that index; once without any.
+
+    What a left join of the days with the valid ones on the key gives, in one pass:
+    the window follows the partitioning and order of the cycle windows.
+    """
+    same_key = Window.partitionBy(*CYCLE_DAY)
+    valid = F.collect_list(F.when(F.col("valid"), F.struct("ip"))).over(same_key)
+    each = days.withColumn("__valid", valid).drop("ip")
+    each = each.withColumn("__index", F.explode_outer("__valid"))
+    return each.withColumn("ip", F.col("__index")["ip"]).drop("__valid", "__index")
+
+
 def zero_guarded_index(
     survival: Column, mean_weight: Column, feed_conversion: Column, mean_age: Column
 ) -> Column:
@@ -159,6 +184,7 @@ def monitored_days(
     officers: Sequence[str] | None = None,
     managers: Sequence[str] | None = None,
     areas: Sequence[str] | None = None,
+    partnerships: Sequence[str] | None = None,
     unit_names: Sequence[int] | None = None,
     periods: Sequence[int] | None = None,
 ) -> DataFrame:
@@ -167,7 +193,8 @@ def monitored_days(
     The date range filters a partition key of the windows, so it reaches the scan.
     """
     wanted = within_range(cycles, "cycle_start", start_from, start_to)
-    dimension = one_of(units, {"officer": officers, "manager": managers, "area": areas})
+    chosen = {"officer": officers, "manager": managers, "area": areas, "partnership": partnerships}
+    dimension = one_of(units, chosen)
     watched = one_of(monitored, {"unit_name": unit_names, "period": periods})
     metrics = join_renamed(cycle_metrics(wanted), dimension, {"unit": "unit"})
     return join_renamed(
@@ -186,18 +213,14 @@ def performance_index(
 ) -> DataFrame:
     """The report: actual and standard values of every monitored day with its index.
 
-    The report rows and the index rows are two views of the same joined days.
-    With ``keys_unique`` the caller states that (unit, cycle start, age) occurs
-    once there, and the index is simply a column; otherwise the two are joined on
-    that key, which repeats rows of repeated keys.
+    The report rows and the index rows are two views of the same joined days,
+    matched by (unit, cycle start, age), which repeats rows of repeated keys. With
+    ``keys_unique`` the caller states that the key occurs once, and the index is
+    simply a column.
     """
     days = monitored_days(cycles, units, monitored, **filters)
     indexed = with_index(days, daily_sales(sales))
-    if keys_unique:
-        report = indexed
-    else:
-        index = indexed.where("valid").select(*CYCLE_DAY, "ip")
-        report = join_renamed(days, index, {key: key for key in CYCLE_DAY}, "left")
+    report = indexed if keys_unique else index_by_key(indexed)
     return (
         with_standard(report, standard)
         .withColumnsRenamed(

@@ -25,7 +25,7 @@ from broodline.operators.aggregate import family_columns, one_hot, row_sums, use
 from broodline.operators.association import correlation_report
 from broodline.operators.cleanse import CleanseRules, cleanse
 from broodline.operators.filters import last_n_days, one_of, within_range
-from broodline.operators.fuzzy import fuzzy_topk_join
+from broodline.operators.fuzzy import fuzzy_topk_join, sorted_words
 from broodline.operators.impute import exact_median, fill_missing, mode_value, present
 from broodline.operators.joins import join_normalized, join_renamed, require_unique
 from broodline.operators.windows import (
@@ -40,6 +40,7 @@ from broodline.plans import bindings as b
 from broodline.plans import performance_index as pi
 from broodline.plans.age_bands import latest_living, population_by_age_band
 from broodline.plans.brand_reports import brand_and_place, brand_and_price, feed_brands
+from broodline.plans.intake import intake
 from broodline.plans.scorecards import recent_scorecard
 from broodline.sources.scratch import scratch_path
 from broodline.sources.sinks import (
@@ -49,7 +50,7 @@ from broodline.sources.sinks import (
     write_sheet,
     write_upsert,
 )
-from broodline.sources.tables import read_sheets, union_tagged
+from broodline.sources.tables import read_sheets, read_table, register_views, union_tagged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,6 +78,52 @@ def scan_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.table(spark, sf_dir, "customer")
 
 
+@query("search_path_scan")
+def search_path_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables found along the search path: ``nation`` in both folders, ``region`` in the second."""
+    root = scratch_path(spark, "schemas")
+    nation = b.table(spark, sf_dir, "nation")
+    write_overwrite(nation, f"{root}/dbo/nation")
+    write_overwrite(nation.where("n_nationkey < 0"), f"{root}/ops/nation.parquet")
+    write_overwrite(b.table(spark, sf_dir, "region"), f"{root}/ops/region.parquet")
+    found, region = [read_table(spark, root, name, "ops") for name in ("nation", "region")]
+    return join_renamed(found, region, {"n_regionkey": "r_regionkey"})
+
+
+@query("catalog_views")
+def catalog_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers per region in SQL over views of the tables."""
+    names = ["supplier", "nation", "region"]
+    register_views(spark, sf_dir, names)
+    return spark.sql("""
+        SELECT r_name, count(*) AS suppliers, max(s_acctbal) AS most
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey
+        JOIN region ON n_regionkey = r_regionkey GROUP BY r_name""")
+
+
+def _customer_rules() -> CleanseRules:
+    return CleanseRules(
+        drop_duplicates=True,
+        fill={"c_acctbal": 0.0},
+        fill_with_mode=["c_nationkey"],
+        drop=["c_name"],
+        recode={"c_mktsegment": {"BUILDING": "Building", "MACHINERY": None}},
+        keep=F.col("c_acctbal") > 0,
+    )
+
+
+@query("intake_profile")
+def intake_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First contact with a table: its profile."""
+    return intake(spark, sf_dir, "customer", rules=_customer_rules()).facts
+
+
+@query("intake_cleansed")
+def intake_cleansed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First contact with a table: its cleansed form."""
+    return intake(spark, sf_dir, "customer", rules=_customer_rules()).cleansed
+
+
 @query("read_many_union")
 def read_many_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = b.table(spark, sf_dir, "customer").select(
@@ -373,8 +420,8 @@ def running_sum_hot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("date").alias("day"),
         F.col("o_totalprice").cast(b.MONEY).alias("amount"),
     )
-    month = F.trunc("day", "MONTH")
-    totals = blocked_running_sum(orders, "amount", ["o_orderstatus"], "day", month, "so_far")
+    month, year = F.trunc("day", "MONTH"), F.trunc("day", "YEAR")
+    totals = blocked_running_sum(orders, "amount", ["o_orderstatus"], "day", month, "so_far", year)
     return totals.select("o_orderkey", "o_orderstatus", F.col("so_far").cast("double").alias("so_far"))
 
 
@@ -384,8 +431,9 @@ def delta_hot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = b.table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast(b.MONEY).alias("amount")
     )
-    block = F.floor(F.col("o_orderkey") / 5000)
-    change = blocked_delta(orders, "amount", ["o_orderstatus"], "o_orderkey", block, "change")
+    key = F.col("o_orderkey")
+    block, span = F.floor(key / 5000), F.floor(key / 20_000_000)
+    change = blocked_delta(orders, "amount", ["o_orderstatus"], "o_orderkey", block, "change", span)
     return change.select("o_orderkey", "o_orderstatus", F.col("change").cast("double").alias("change"))
 
 
@@ -533,6 +581,34 @@ def fuzzy_topk_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy_topk_join(left, right, "n_name", "nation", 87.5, 5)
 
 
+def _long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names, types and brands in one text of 60 characters and more."""
+    words = F.concat_ws(" ", "p_type", "p_name", "p_brand")
+    part = b.table(spark, sf_dir, "part").withColumn("words", words)
+    return part.select(
+        "p_partkey", F.concat_ws(" ", "words", F.lit("of part number"), "p_partkey", "words").alias("name")
+    )
+
+
+@query("fuzzy_topk_join_long")
+def fuzzy_topk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names too long for deletions, every part against every misspelt one."""
+    left = _long_names(spark, sf_dir)
+    right = left.select(_misspelt(F.col("name")).alias("spelling"))
+    return fuzzy_topk_join(left, right, "name", "spelling", 95, 1, dedupe_right=True)
+
+
+@query("fuzzy_topk_join_any_order")
+def fuzzy_topk_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names against the same names with their words reversed."""
+    left = b.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    turned = F.array_join(F.reverse(F.split("p_name", " ")), " ")
+    right = left.select(turned.alias("turned"))
+    return fuzzy_topk_join(
+        left, right, "p_name", "turned", 100, 1, dedupe_right=True, processor=sorted_words
+    )
+
+
 @query("fuzzy_topk_join_prefixed")
 def fuzzy_topk_prefixed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier names all start alike: a hot key for piece blocking, not for deletions."""
@@ -659,6 +735,7 @@ def performance_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
             start_to=dt.date(2024, 1, 22),
             officers=["BUILDING", "MACHINERY", "HOUSEHOLD"],
             areas=["ASIA", "AFRICA", "EUROPE"],
+            partnerships=["own"],
             periods=[2, 3, 4],
         )
     )

@@ -1,7 +1,8 @@
 import random
 
 import pytest
-from broodline.operators.fuzzy import fuzzy_topk_join, plain_text, similar_pairs
+from broodline.operators import fuzzy
+from broodline.operators.fuzzy import fuzzy_topk_join, plain_text, similar_pairs, sorted_words
 from broodline.operators.joins import join_normalized, join_renamed, require_unique, skew_joined
 from conftest import rows
 from pyspark.sql import functions as F
@@ -139,6 +140,27 @@ def test_fuzzy_topk_limit_copies_and_no_match(spark):
     assert rows(three)[0] == (1, "North Farm", "North Farm, North Farm, NORTH FARN")
 
 
+def test_keys_per_name_grow_with_its_length_only(spark):
+    """Long names make pieces, never the square of their length in deletion variants."""
+    lengths = [20, 40, 100, 300, 1000]
+    text = "".join(chr(97 + i * i % 23) for i in range(1000))
+    names = spark.createDataFrame([(text[:n], text[:n], n) for n in lengths], "a string, ta string, la int")
+    for threshold in (90, 99):
+        reaches = F.expr(fuzzy.short(fuzzy.shortest_partner("la", threshold), threshold))
+        variants = fuzzy._variant_keys(names.where(reaches), "ta", "la", threshold)
+        assert {r[0]: r[1] for r in variants.groupBy("la").count().collect()}.keys() <= {20}
+    pieces = fuzzy._probe_pieces(names, 99).groupBy("la").count().collect()
+    assert all(n <= 40 * la for la, n in pieces)
+
+
+def test_sorted_words_forgive_order(spark):
+    df = spark.createDataFrame([("river farm unit seven",)], "n string")
+    other = spark.createDataFrame([("Unit seven, river farm",)], "m string")
+    found = fuzzy_topk_join(df, other, "n", "m", 90, processor=sorted_words)
+    assert found.first()["matches"] == "Unit seven, river farm"
+    assert fuzzy_topk_join(df, other, "n", "m", 90).first()["matches"] == ""
+
+
 def test_threshold_is_checked(spark):
     df = spark.createDataFrame([("a",)], "n string")
     with pytest.raises(ValueError):

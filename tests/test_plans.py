@@ -189,8 +189,21 @@ def test_dimension_joins_sort_merge_beyond_the_broadcast_limit(spark, inputs):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_date_range_reaches_the_scan(spark, sf_dir):
-    path = f"{sf_dir}/orders.parquet"
-    plan = physical(spark.read.parquet(path).select("o_orderkey").where("o_totalprice > 10"))
-    assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,10.0)]" in plan
-    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+def test_date_range_reaches_the_scan(spark, inputs, tmp_path):
+    """A stored cycle start is filtered where the cycles are read, below the windows."""
+    cycles, units, watched, _, _ = inputs
+    cycles.write.parquet(f"{tmp_path}/cycles")
+    stored = spark.read.parquet(f"{tmp_path}/cycles")
+    plan = physical(pi.monitored_days(stored, units, watched, start_from=DAY, start_to=DAY))
+    assert "GreaterThanOrEqual(cycle_start,2024-01-01)" in plan
+    assert "LessThanOrEqual(cycle_start,2024-01-01)" in plan
+
+
+def test_repeated_cycle_days_meet_every_index_of_their_day(spark, inputs):
+    """As the join by key would: two rows of one day, one of them without an index."""
+    cycles, units, watched, sales, standard = inputs
+    twice = cycles.union(cycles.where("unit = 1 AND age = 2").withColumn("bw", F.lit(0.0)))
+    found = pi.performance_index(twice, units, watched, sales, standard)
+    day = found.where("unit = 1 AND age = 2").select("bw_actual", "ip").collect()
+    assert len(day) == 2
+    assert len({r["ip"] for r in day}) == 1 and day[0]["ip"] is not None

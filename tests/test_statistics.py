@@ -170,11 +170,26 @@ def test_exact_median(spark, data):
     assert found == pytest.approx(statistics.median([v for v in data if v is not None]))
 
 
+@pytest.mark.parametrize("shape", ["tiny", "ties", "far", "infinite"])
+def test_exact_median_of_odd_shapes(spark, shape):
+    """Small, repeated, far and infinite values; the bracket is far narrower than the data."""
+    rng = random.Random(3)
+    draw = {
+        "tiny": lambda: rng.random() * 1e-6,
+        "ties": lambda: float(rng.randrange(3)),
+        "far": lambda: rng.choice([-1e300, 1e300]) * rng.random(),
+        "infinite": lambda: rng.choice([float("-inf"), float("inf"), rng.random()]),
+    }[shape]
+    data = [draw() for _ in range(20_001)]
+    df = spark.createDataFrame([(v,) for v in data], "v double").repartition(4)
+    assert df.select(exact_median(df, "v").alias("m")).first()[0] == statistics.median(data)
+
+
 def test_exact_median_random_and_empty(spark):
     rng = random.Random(9)
     data = [rng.choice([rng.gauss(1500, 150), rng.randrange(20), -rng.expovariate(0.001)]) for _ in range(2001)]
     df = spark.createDataFrame([(float(v),) for v in data], "v double")
-    assert df.select(exact_median(df, "v", resolution=10)).first()[0] == statistics.median(data)
+    assert df.select(exact_median(df, "v", accuracy=10, slots=4)).first()[0] == statistics.median(data)
     empty = spark.createDataFrame([(None,)], "v double")
     assert empty.select(exact_median(empty, "v")).first()[0] is None
 

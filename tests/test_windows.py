@@ -61,10 +61,16 @@ def test_blocked_forms_equal_plain_windows(spark, seed):
     blocked = blocked_running_sum(df, "x", ["k"], "t", block, "s").select("id", "s")
     plain = df.select("id", running_sum("x", by_age(["k"], "t")))
     assert rows(blocked) == rows(plain)
+    span = F.floor(F.col("t") / 28)
+    blocked = blocked_running_sum(df, "x", ["k"], "t", block, "s", span).select("id", "s")
+    assert rows(blocked) == rows(plain)
     by_id = F.floor(F.col("id") / 100)
     blocked = blocked_delta(df, "x", ["k"], "id", by_id, "d").select("id", "d")
     plain = df.select("id", delta("x", by_age(["k"], "id")))
     assert rows(blocked) == rows(plain)
+    span = F.floor(F.col("id") / 700)
+    blocked = blocked_delta(df, "x", ["k"], "id", by_id, "d", span).select("id", "d")
+    assert rows(blocked) == rows(plain)
 
 
 def test_latest_n_and_spread(spark):
