@@ -628,7 +628,7 @@ ORACLES: dict[str, str] = {
         )
     } FROM k WHERE rn <= 7 GROUP BY place""",
     "join_inner_dim": f"""WITH {CYCLE_DAILY}, {UNIT_DIM}
-        SELECT unit, cycle_start, age, pop_end, officer, manager, area
+        SELECT unit, cycle_start, age, pop_end, officer, manager, area, partnership
         FROM cycle_daily JOIN unit_dim USING (unit) WHERE area IN ('ASIA', 'AFRICA', 'EUROPE')""",
     "join_inner_3key": f"""WITH {CYCLE_DAILY}, {MONITORED}
         SELECT unit, cycle_start, age, cum_harvest, period FROM cycle_daily JOIN monitored
