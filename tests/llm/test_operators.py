@@ -321,6 +321,25 @@ def test_licences(spark):
     assert scan_licences(nothing(spark), model).collect() == []
 
 
+def test_licences_without_cue_words_and_identifiers(spark):
+    model = fit_licences(spark)
+    wanted = [
+        ("All rights reserved.", "Proprietary"),
+        ("(c) 2021 Example Ltd. All rights reserved!", "Proprietary"),
+        ("Proprietary and confidential. Unauthorized copying of these pages is forbidden.", "Proprietary"),
+        ("Photos: CC BY 4.0", "CC-BY"),
+        ("CC0 1.0 Universal", "Public-Domain"),
+        ("// SPDX-License-Identifier: MIT", "MIT"),
+        ("# SPDX-License-Identifier: LGPL-2.1-only", "LGPL"),
+        ("All people have rights.", "unknown"),
+        ("Twelve pigeons slept under the old bridge.", "unknown"),
+    ]
+    text = "\n\n".join(line for line, _ in wanted) + "\n" + "unlisted words " * 20_000
+    found = scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert [(r["line"], r["family"]) for r in sorted(found, key=lambda r: r["paragraph"])[:-1]] == wanted
+    assert len(found) == len(wanted) + 1
+
+
 # --- pages -------------------------------------------------------------------
 
 
