@@ -3,8 +3,8 @@
 A tokenizer splits a text before it merges, and no split crosses the last blank
 of a run of white space. A batch of texts is therefore cut into units at white
 space, equal units are found by their 64-bit hashes, and only units that the
-worker has not met go to the tokenizer. Texts with white space outside ASCII are
-encoded whole.
+worker has not met go to the tokenizer. Texts with white space outside ASCII, and
+texts that hold the string of an added token, are encoded whole.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -40,13 +41,21 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of texts by one tokenizer file, without special tokens."""
+    """Ids of texts by one tokenizer file; nothing is added around a text.
 
-    def __init__(self, path: str):
+    With ``match_added`` the strings of added tokens in a text get their own ids, as
+    the file has it; without, special ones are ordinary text.
+    """
+
+    def __init__(self, path: str, match_added: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not match_added
+        added = self.tokenizer.get_added_tokens_decoder().values() if match_added else []
+        self.added = [re.compile(re.escape(t.content.encode())) for t in added]
         self.model = self.tokenizer.model
         self.normalizer = self.tokenizer.normalizer
+        #: Added tokens that are looked for after normalizing can be in any text.
+        self.all_whole = self.normalizer is not None and any(t.normalized for t in added)
         rules = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
         steps = rules.get("pretokenizers", [rules])
         own = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split"]
@@ -117,9 +126,40 @@ class Encoder:
         self.places = np.insert(self.places, spots, places)
         self.lengths = np.insert(self.lengths, spots, lengths)
 
+    def rows_with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The rows in whose bytes the string of an added token starts."""
+        if self.all_whole:
+            return np.arange(len(offsets) - 1)
+        found = set()
+        for pattern in self.added:
+            match = pattern.search(data)
+            while match:
+                row = int(np.searchsorted(offsets, match.start(), "right")) - 1
+                found.add(row)
+                match = pattern.search(data, int(offsets[row + 1]))
+        return np.array(sorted(found), np.int64)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows joined and the first one of each row (one more than rows)."""
         data, offsets = utf8(column)
+        added = self.rows_with_added(data, offsets)
+        if not len(added):
+            return self.encode_plain(column, data, offsets)
+        mask = np.zeros(len(column), bool)
+        mask[added] = True
+        others = pc.if_else(pa.array(mask), pa.scalar(None, column.type), column)
+        ids, begins = self.encode_plain(others, *utf8(others))
+        parts, sizes, at = [], np.diff(begins), 0
+        for row in added:
+            own = self.whole(column[int(row)].as_py() or "")
+            parts += [ids[at : begins[row]], own]
+            at, sizes[row] = begins[row], len(own)
+        return np.concatenate([*parts, ids[at:]]), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+    def encode_plain(
+        self, column: pa.Array, data: np.ndarray, offsets: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for rows in which no added token has to be matched."""
         if not self.keeps_blanks:
             data = ascii_lower(data)
         if _FAR_SPACE.search(data):
@@ -158,8 +198,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file; loaded once in a worker."""
+    """The worker's encoder for a tokenizer file, added tokens matched; loaded once in a worker."""
     store = worker_store()
     if path not in store:
-        store[path] = Encoder(path)
+        store[path] = Encoder(path, match_added=True)
     return store[path]

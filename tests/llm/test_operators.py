@@ -15,7 +15,7 @@ from broodline.llm.graph import connected_components
 from broodline.llm.language_id import LanguageModel, fit_language_model, identify_language
 from broodline.llm.licences import TEMPLATES, fit_licences, scan_licences
 from broodline.llm.quality import fit_quality, score_quality
-from broodline.llm.tokenizing import Encoder
+from broodline.llm.tokenizing import Encoder, encoder
 from broodline.llm.toxicity import fit_toxicity, score_toxicity
 from conftest import rows
 from pyspark.sql import functions as F
@@ -131,6 +131,22 @@ def test_encoder_equals_the_tokenizer(name):
         assert ids[begins[row] : begins[row + 1]].tolist() == expected, text
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_operators_encode_added_tokens_as_the_file_does(name):
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    draw = random.Random(8)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", " ", "a b", "\n", "É\u00a0", "<|ENDOFTEXT|>", ""]
+    texts = ["a <|endoftext|> b", "<|endof", "text|> c", None, "", "plain  words\n", "<|endoftext|>"]
+    texts += ["".join(draw.choices(bits, k=draw.randrange(5))) for _ in range(400)]
+    for some in (texts, texts[:5], [t for t in texts if t and "\u00a0" not in t]):
+        ids, begins = encoder(path).encode(pa.array(some, pa.string()))
+        assert len(begins) == len(some) + 1
+        for row, text in enumerate(some):
+            expected = plain.encode(text or "", add_special_tokens=False).ids
+            assert ids[begins[row] : begins[row + 1]].tolist() == expected, text
+
+
 def test_plan_places_every_piece_once():
     draw = random.Random(1)
     counts = {}
