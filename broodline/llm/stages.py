@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from broodline.llm.arrays import held_out
 from broodline.llm.decontaminate import with_matches
+from broodline.llm.graph import settled
 from broodline.llm.language_id import UNDETERMINED, fit_language_model, identify_language
 from broodline.llm.near_dup import near_duplicates
 from broodline.llm.packing import pack
@@ -38,14 +39,19 @@ def drop_poor_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id.
+    """One row of each group of near copies, one with the least id.
 
-    Five-word shingles and a similarity of 0.8. Documents without words, and rows
-    without an id, stay.
+    Five-word shingles and a similarity of 0.8. Rows are judged and dropped by a
+    number of their own, written once, so an id may occur several times, with one
+    text or many. Documents without words, and rows without an id, stay.
     """
-    found = near_duplicates(docs, words=5, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = settled(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    named = rows.where(F.col("doc_id").isNotNull())
+    found = near_duplicates(named, words=5, percent=80, key="__row").select("__row", "component_id")
+    ids = named.select("__row", "doc_id")
+    first = found.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+    gone = ids.join(first.select("first.__row"), "__row", "left_anti").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
+from broodline.llm.stages import drop_near_copies
 
 
 def test_registered():
@@ -26,3 +27,14 @@ def test_stages(spark, sf_dir, tmp_path):
     assert after == before  # packing keeps every document
     assert seen[1] > 0 and seen[2] > 0  # poor documents and copies go
     assert len(after) > 0.6 * 200
+
+
+def test_near_copies_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{name}{k}" for k in range(30)) for name in "abc")
+    rows = [(5, a), (5, b), (1, a), (7, b), (9, c), (9, c), (None, a), (None, a), (3, ""), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted((tuple(r) for r in drop_near_copies(spark, docs, "").collect()), key=repr)
+    wanted = [(1, a), (5, b), (9, c), (None, a), (None, a), (3, ""), (3, ""), (4, None)]
+    assert found == sorted(wanted, key=repr)
+    same = spark.createDataFrame([(5, a), (5, b), (5, a), (5, c)], "doc_id long, text string")
+    assert sorted(r["text"] for r in drop_near_copies(spark, same, "").collect()) == [a, b, c]
