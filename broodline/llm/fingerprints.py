@@ -2,13 +2,12 @@
 
 A k-mer of code points is an anchor if the least of its inner s-mers stands at
 its start or its end. Whether it is one depends on nothing outside the k-mer, so
-an edit changes only the anchors that touch it. A fingerprint keeps the anchors
-whose hash falls below a bound that halves until few enough are left, each with
-its first position; the bound covers the whole text evenly.
+an edit changes only the anchors that touch it. A fingerprint keeps every distinct
+anchor with its first position, whatever the length of the text.
 
-Likeness of two fingerprints, at their smaller bound: anchors are matched by hash,
-and only matches whose shift between the texts is the most common one, within a
-small drift, count. The result is the number of
+Likeness of two fingerprints: anchors are matched by hash, and the longest chain
+of matches that follow each other in both texts counts, so a block put in or taken
+out anywhere breaks nothing behind it. The result is the number of chained
 matches over the larger number of anchors.
 
 Defined results: a NULL text counts as empty; an empty text has the fingerprint
@@ -20,6 +19,7 @@ the whole text; two empty texts are alike (1), an empty and another one are not
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +32,6 @@ from broodline.llm.arrays import U64, code_points, mix, slices
 
 #: Code points of a k-mer and of its inner s-mers.
 K, S = 12, 5
-#: Anchors kept by a fingerprint at most; halving the bound leaves at least about half as many.
-ANCHORS = 128
-#: Positions may drift by this share of the text between two alike documents.
-DRIFT = 0.05
 #: Rows of one range of ids, roughly; further ranges are made beyond the session's partitions.
 ROWS_PER_RANGE = 50_000
 
@@ -60,51 +56,51 @@ def anchors(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> U64(32)).astype(np.uint32), at
 
 
-def sketch(points: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Halvings of the bound, distinct hashes and first positions of the anchors kept, by hash."""
+def sketch(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and first positions of all anchors, by hash."""
     if not len(points):
-        return 0, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
     hashes, at = anchors(points)
     if not len(hashes):
         whole = hashlib.blake2b(points.astype("<u4").tobytes(), digest_size=4).digest()
-        return 0, np.frombuffer(whole, "<u4"), np.zeros(1, np.int64)
+        return np.frombuffer(whole, "<u4"), np.zeros(1, np.int64)
     hashes, first = np.unique(hashes, return_index=True)
-    halvings = 0
-    while np.searchsorted(hashes, 1 << 32 - halvings) > ANCHORS:
-        halvings += 1
-    kept = hashes < (1 << 32 - halvings)
-    return halvings, hashes[kept], at[first[kept]]
+    return hashes, at[first]
+
+
+def to_text(hashes: np.ndarray, at: np.ndarray) -> str:
+    """``0:`` and hash and position of each anchor in hexadecimal; no share of the hashes is left out (0 halvings)."""
+    both = np.stack([hashes, np.minimum(at, 2**32 - 1)], axis=1).astype(">u4")
+    return f"0:{both.tobytes().hex()}"
 
 
-def to_text(halvings: int, hashes: np.ndarray, at: np.ndarray) -> str:
-    both = np.stack([hashes.astype(">u4"), np.minimum(at, 2**32 - 1).astype(">u4")], axis=1)
-    return f"{halvings}:{both.tobytes().hex()}"
+def from_text(text: str) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(bytes.fromhex(text.split(":")[1]), ">u4").reshape(-1, 2)
+    return both[:, 0].astype(np.uint32), both[:, 1].astype(np.int64)
 
 
-def from_text(text: str) -> tuple[int, np.ndarray, np.ndarray]:
-    halvings, data = text.split(":")
-    both = np.frombuffer(bytes.fromhex(data), ">u4").reshape(-1, 2)
-    return int(halvings), both[:, 0].astype(np.uint32), both[:, 1].astype(np.int64)
+def chained(places: np.ndarray) -> int:
+    """Length of the longest increasing subsequence of distinct places."""
+    if (places[1:] > places[:-1]).all():
+        return len(places)
+    ends: list[int] = []
+    for place in places.tolist():
+        if not ends or place > ends[-1]:
+            ends.append(place)
+        else:
+            ends[bisect_left(ends, place)] = place
+    return len(ends)
 
 
 def likeness(one: tuple, other: tuple) -> float:
-    """Share of anchors (0 to 1) that match in hash and, but for one common shift, in position."""
-    halvings = max(one[0], other[0])
-    bound = 1 << 32 - halvings
-    a, at_a = one[1][one[1] < bound], one[2][one[1] < bound]
-    b, at_b = other[1][other[1] < bound], other[2][other[1] < bound]
-    if not len(one[1]) or not len(other[1]):
-        return float(len(one[1]) == len(other[1]))
+    """Share of anchors (0 to 1) that match in hash and follow each other in both texts."""
+    (a, at_a), (b, at_b) = one, other
     if not len(a) or not len(b):
-        return float(np.array_equal(one[1], other[1]) and one[0] == other[0])
-    most = max(len(a), len(b))
+        return float(len(a) == len(b))
     _, rows_a, rows_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     if not len(rows_a):
         return 0.0
-    shift = np.sort(at_a[rows_a] - at_b[rows_b])
-    drift = DRIFT * max(at_a.max(), at_b.max())
-    within = np.searchsorted(shift, shift + drift, "right") - np.arange(len(shift))
-    return float(within.max() / most)
+    return chained(at_b[rows_b][np.argsort(at_a[rows_a])]) / max(len(a), len(b))
 
 
 def edited(own: str, following: str) -> str:

@@ -268,6 +268,21 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprints(odd(spark)).count() == len(ODD)
 
 
+def test_fingerprints_keep_every_anchor_of_long_texts():
+    draw = random.Random(6)
+    some = lambda n: "".join(draw.choices("abcdefghij klmno", k=n))
+    mark = lambda text: fingerprints.sketch(fingerprints.code_points([text])[0])
+    shared = some(300)
+    one, other = some(200_000) + shared + some(200_000), some(50_000) + shared + some(300_000)
+    (a, at_a), (b, at_b) = (fingerprints.from_text(fingerprints.to_text(*mark(t))) for t in (one, other))
+    both, rows_a, rows_b = np.intersect1d(a, b, return_indices=True)
+    inside = (at_a[rows_a] >= 200_000) & (at_a[rows_a] < 200_300) & (at_b[rows_b] - at_a[rows_a] == -150_000)
+    assert inside.sum() >= 50
+    text = some(20_000)
+    grown = text[:10_000] + some(4_000) + text[10_000:]
+    assert abs(fingerprints.likeness(mark(text), mark(grown)) - 20 / 24) < 0.02
+
+
 # --- classifiers -------------------------------------------------------------
 
 
