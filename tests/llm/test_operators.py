@@ -407,3 +407,20 @@ def test_wrapper_and_pages_without_regions():
         "<#root><body><div.a>(<a>#TEXT</>)+</><div><h2>#TEXT</>(<p>#TEXT</>)+</><div.z>'All rights reserved'</></></>"
     )
     assert html_extract.main_text(pages[1], wrapper) == "T1\nText number 1 goes on.\nText number 1 goes on.\nLast 1"
+
+
+def test_articles_keep_constant_texts_all_regions_and_named_parts():
+    pages = [
+        f"<body><article><h1>Head {k}</h1><h2>Background</h2>"
+        f"<section id='legal-history'><p>History {k}</p></section><p class=notice>Kept {k}</p>"
+        f"<div class='cookie-notice'>Cookies {k}</div></article><article><p>Second part</p></article>"
+        f"<div class=comments><article><p>me too {k}</p></article></div></body>"
+        for k in range(5)
+    ]
+    wrapper = html_extract.infer_wrapper(pages)
+    assert html_extract.main_text(pages[2], wrapper) == "Head 2\nBackground\nHistory 2\nKept 2\nSecond part"
+    variants = [
+        f"<body data-v={k}><nav>Home of news</nav><p>menu {k}</p><article><h2>Home of news</h2><p>The same notice.</p></article></body>"
+        for k in range(4)
+    ]
+    assert html_extract.main_text(variants[0], html_extract.infer_wrapper(variants)) == "The same notice."
