@@ -1,6 +1,7 @@
 """Operators for training data: edge cases, and whole results against brute force on small tables."""
 
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -424,3 +425,14 @@ def test_articles_keep_constant_texts_all_regions_and_named_parts():
         for k in range(4)
     ]
     assert html_extract.main_text(variants[0], html_extract.infer_wrapper(variants)) == "The same notice."
+
+
+def test_copies_of_a_page_take_one_place_of_the_choice(spark):
+    pages = [f"<body><div><b>Menu of the site</b></div><p>Text {k} of the page.</p></body>" for k in range(4)]
+    data = [(k, "https://a.example/x", html) for k, html in enumerate(pages * 30)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    found = html_extract.extract_main_text(df).collect()
+    assert len(found) == len(data)
+    assert {r["text"] for r in found} == {f"Text {k} of the page." for k in range(4)}
+    wrappers = html_extract.host_wrappers(df, "url", "html", 3).collect()
+    assert [json.loads(r["wrapper"])[3] for r in wrappers] == [3]
