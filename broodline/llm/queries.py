@@ -16,7 +16,10 @@ from broodline.llm.language_id import fit_language_model, identify_language
 from broodline.llm.licences import fit_licences, scan_licences
 from broodline.llm.near_dup import near_duplicates
 from broodline.llm.packing import pack
+from broodline.llm.periodic import periodic_runs, run_digests, with_made_runs
+from broodline.llm.prefix_trie import node_digests, prefix_trie, sequences, with_shared_starts
 from broodline.llm.quality import fit_quality, score_quality
+from broodline.llm.target_ratio import apply_quality_rules
 from broodline.llm.token_files import round_trip
 from broodline.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -107,3 +110,20 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op11_prefix_trie")
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sequences(read(spark, sf_dir, "conversations"))
+    return node_digests(prefix_trie(with_shared_starts(found)))
+
+
+@query("op12_target_ratio")
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return apply_quality_rules(docs, labels, held_out("doc_id", 5, 0))
+
+
+@query("op13_periodic_runs")
+def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_made_runs(read(spark, sf_dir, "documents"))))
