@@ -15,6 +15,7 @@ from broodline.llm.html_extract import extract_main_text
 from broodline.llm.language_id import fit_language_model, identify_language
 from broodline.llm.licences import fit_licences, scan_licences
 from broodline.llm.near_dup import near_duplicates
+from broodline.llm.oracles import PERIODIC_RUNS, PREFIX_TRIE
 from broodline.llm.packing import pack
 from broodline.llm.periodic import periodic_runs, run_digests, with_made_runs
 from broodline.llm.prefix_trie import node_digests, prefix_trie, sequences, with_shared_starts
@@ -127,3 +128,6 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_periodic_runs")
 def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(with_made_runs(read(spark, sf_dir, "documents"))))
+
+
+ORACLES |= {"op11_prefix_trie": PREFIX_TRIE, "op13_periodic_runs": PERIODIC_RUNS}

@@ -7,7 +7,7 @@ from broodline.llm.stages import drop_near_copies
 
 def test_registered():
     names = set(queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert any(k.startswith(f"op{n}_") for k in names)
     assert "pipeline" in names and set(oracle_sql()) <= names
 
