@@ -66,8 +66,9 @@ def brand_and_price(
         _numeric(df, price).alias("price"),
         _numeric(df, outcome).alias("y"),
     ).dropna(subset=["brand", "day"])
-    band = price_band(fill_missing("price", exact_median(rows, "price")))
-    dated = rows.withColumns({"band": band, **calendar_parts("day", year_mode)})
+    # The fill is a column of its own: each use of it in a band would be another subquery.
+    filled = rows.withColumn("price", fill_missing("price", exact_median(rows, "price")))
+    dated = filled.withColumns({"band": price_band("price"), **calendar_parts("day", year_mode)})
     features = F.array(compound("brand", "band", "_"))
     return indicator_correlation(dated, ["brand", "band"], features, "y")
 

@@ -373,6 +373,24 @@ SELECT {columns}, coalesce(matches, '') AS matches
 FROM lefts LEFT JOIN listed ON {name} = a"""
 
 
+def word_scored(whole: str, threshold: float, limit: int) -> str:
+    """All pairs of part names and noisy names, scored by the words they share."""
+    split = "list_distinct(list_filter(string_split(trim(lower(regexp_replace({}, '[^a-zA-Z0-9_]', ' ', 'g'))), ' '), lambda w: w <> ''))"
+    return f"""
+WITH noisy AS (SELECT DISTINCT array_to_string(
+    CASE WHEN p_partkey % 4 = 1 THEN ['ltd', w[1]] ELSE ['LTD.'] END
+    || CASE WHEN p_partkey % 3 = 0 THEN w[1:len(w) - 1] ELSE list_reverse(w) END, ' ') AS b
+    FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)),
+rights AS (SELECT b, {split.format("b")} AS v FROM noisy),
+lefts AS (SELECT DISTINCT p_name AS a, {split.format("p_name")} AS u FROM part),
+pairs AS (SELECT a, b, len(list_intersect(u, v)) AS hits, len(u) AS n, len(v) AS m FROM lefts, rights),
+scored AS (SELECT a, b, 100.0 * hits / {whole} AS score FROM pairs WHERE n > 0 AND m > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rn
+    FROM scored WHERE score >= {threshold} - 1e-9),
+listed AS (SELECT a, string_agg(b, ', ' ORDER BY rn) AS matches FROM ranked WHERE rn <= {limit} GROUP BY a)
+SELECT p_partkey, p_name, coalesce(matches, '') AS matches FROM part LEFT JOIN listed ON p_name = a"""
+
+
 MISSPELT = (
     "replace(replace(replace(replace(p_name, 'gizmo', 'gizzmo'), 'small', 'smal'),"
     " 'anvil', 'ANVIL!'), 'cold', 'gold')"
@@ -690,6 +708,8 @@ sorted AS (SELECT min(b) AS b,
     FROM turned GROUP BY t)
 SELECT p_partkey, p_name, coalesce(b, '') AS matches FROM part LEFT JOIN sorted
 ON t = array_to_string(list_sort(string_split(trim(lower(regexp_replace(p_name, '[^a-zA-Z0-9_]', ' ', 'g'))), ' ')), ' ')""",
+    "fuzzy_topk_join_word_set": word_scored("(n + m - hits)", 60, 3),
+    "fuzzy_topk_join_word_part": word_scored("least(n, m)", 75, 3),
     "fuzzy_topk_join_prefixed": fuzzy(
         "SELECT s_suppkey, s_name FROM supplier",
         "SELECT replace(s_name, 'Supp', 'Sup') AS name FROM supplier",

@@ -25,7 +25,7 @@ from broodline.operators.aggregate import family_columns, one_hot, row_sums, use
 from broodline.operators.association import correlation_report
 from broodline.operators.cleanse import CleanseRules, cleanse
 from broodline.operators.filters import last_n_days, one_of, within_range
-from broodline.operators.fuzzy import fuzzy_topk_join, sorted_words
+from broodline.operators.fuzzy import WORD_PART, WORD_SET, fuzzy_topk_join, sorted_words
 from broodline.operators.impute import exact_median, fill_missing, mode_value, present
 from broodline.operators.joins import join_normalized, join_renamed, require_unique
 from broodline.operators.windows import (
@@ -609,6 +609,30 @@ def fuzzy_topk_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_noise_words(name: Column, number: Column) -> Column:
+    """The name with words left out, added or repeated, in another order."""
+    words = F.split(name, " ")
+    fewer = F.when(number % 3 == 0, F.slice(words, 1, F.size(words) - 1)).otherwise(F.reverse(words))
+    extra = F.when(number % 4 == 1, F.array(F.lit("ltd"), words[0])).otherwise(F.array(F.lit("LTD.")))
+    return F.array_join(F.concat(extra, fewer), " ")
+
+
+@query("fuzzy_topk_join_word_set")
+def fuzzy_topk_word_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names against names of other words and order; every right name holds one word."""
+    left = b.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    right = left.select(_with_noise_words(F.col("p_name"), F.col("p_partkey")).alias("noisy"))
+    return fuzzy_topk_join(left, right, "p_name", "noisy", 60, 3, dedupe_right=True, scorer=WORD_SET)
+
+
+@query("fuzzy_topk_join_word_part")
+def fuzzy_topk_word_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``fuzzy_topk_word_set``, but extra words on either side cost nothing."""
+    left = b.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    right = left.select(_with_noise_words(F.col("p_name"), F.col("p_partkey")).alias("noisy"))
+    return fuzzy_topk_join(left, right, "p_name", "noisy", 75, 3, dedupe_right=True, scorer=WORD_PART)
+
+
 @query("fuzzy_topk_join_prefixed")
 def fuzzy_topk_prefixed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier names all start alike: a hot key for piece blocking, not for deletions."""
