@@ -13,22 +13,24 @@ are kept as they are, repeated or not; a NULL id counts as not held out.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broodline.llm.arrays import code_points, hash_share, per_batch
+from broodline.llm.labels import distinct_texts
 
 #: Hash cells for each n-gram length.
 CELLS = 2048
 #: About so many labelled texts of each language are used to fit the machines.
 ROWS_PER_LANGUAGE = 400
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter of any script; number signs, marks and symbols are none.
+_LETTER = regex.compile(r"\p{L}")
 _ROOT = 0x2C1B3C6D
 
 
@@ -124,13 +126,14 @@ def fit_language_model(
     use: Column,
     text: str = "text",
     lang: str = "lang",
-    key: str = "doc_id",
     rows_per_language: int = ROWS_PER_LANGUAGE,
 ) -> LanguageModel:
-    """Fit on a repeatable sample of about ``rows_per_language`` texts of each language.
+    """Fit on a repeatable sample of about ``rows_per_language`` texts of each language, at most twice that.
 
     Only rows for which ``use`` holds are learnt from. The number of rows of each
     language is counted first, so the sample stays the same size on any input.
+    Rows are chosen by a hash of the text and each text counts once, whatever
+    its id.
     """
     labelled = docs.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).agg(F.count(F.lit(1))).collect()}
@@ -140,9 +143,8 @@ def fit_language_model(
     for name, count in counts.items():
         part = min(1.0, rows_per_language / count)
         share = F.when(F.col(lang) == name, F.lit(part)).otherwise(share)
-    sample = labelled.where(hash_share(key, share)).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text")
-    )
+    sample = distinct_texts(labelled.where(hash_share(text, share)), lang, text, 2 * rows_per_language)
+    sample = sample.select(F.col("label").alias("lang"), "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
@@ -205,18 +207,20 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], n
     return names, scores
 
 
-def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """All rows and columns, with ``lang_pred`` and ``score`` (0 to 1) added or replaced."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def identify_language(
+    docs: DataFrame, model: LanguageModel, text: str = "text", name: str = "lang_pred", score: str = "score"
+) -> DataFrame:
+    """All rows and columns, with the language (``name``) and ``score`` (0 to 1) added or replaced."""
+    kept = [c for c in docs.columns if c not in (name, score)]
     fields = [f for f in docs.schema if f.name in kept]
-    schema = docs.select(*kept).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*kept).schema.add(name, "string").add(score, "double")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         names, scores = predict(model, batch.column(text).to_pylist())
         columns = [batch.column(f.name) for f in fields]
         return pa.RecordBatch.from_arrays(
             [*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-            [*(f.name for f in fields), "lang_pred", "score"],
+            [*(f.name for f in fields), name, score],
         )
 
     return per_batch(docs.select(*kept), work, schema)

@@ -198,22 +198,21 @@ def fit_quality(
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = pooled(*utf8(batch.column("text")), vectors)
         return pa.RecordBatch.from_arrays(
-            [batch.column("key").cast(pa.string()), batch.column("label"),
-             pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())],
-            ["key", "label", "row"],
+            [batch.column("label"), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())],
+            ["label", "row"],
         )
 
-    rows = per_batch(sample, work, "key string, label int, row binary").collect()
-    rows = sorted((r["key"], r["label"], bytes(r["row"])) for r in rows)
+    rows = per_batch(sample, work, "label int, row binary").collect()
+    rows = sorted((r["label"], bytes(r["row"])) for r in rows)
     natural = labels.where(use & F.col(label).isNotNull()).agg(
         F.avg((F.col(label) > 0).cast("double"))
     ).first()[0]
     nothing = np.zeros(2 * WIDTH)
     model = QualityModel(vectors, nothing, nothing + 1, None, 1.0, 1.0 if natural is None else natural)
-    y = np.array([r[1] for r in rows], float)
+    y = np.array([r[0] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return model
-    x = np.stack([np.frombuffer(r[2], np.float32) for r in rows]).astype(np.float64)
+    x = np.stack([np.frombuffer(r[1], np.float32) for r in rows]).astype(np.float64)
     apart = np.arange(len(y)) % 5 == 0
     if not 0 < y[~apart].sum() < (~apart).sum():
         apart[:] = False

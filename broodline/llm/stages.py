@@ -25,9 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that training knows; texts without a letter go."""
     model = fit_language_model(docs, ~held_out("doc_id", 4, 2))
-    found = identify_language(docs.withColumnRenamed("lang", "__lang"), model)
-    kept = found.where(F.col("lang_pred") != UNDETERMINED)
-    return kept.withColumnRenamed("__lang", "lang").select(*docs.columns)
+    found = identify_language(docs, model, name="__language", score="__certainty")
+    return found.where(F.col("__language") != UNDETERMINED).select(*docs.columns)
 
 
 def drop_poor_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
