@@ -868,4 +868,17 @@ ON t = array_to_string(list_sort(string_split(trim(lower(regexp_replace(p_name,
         SELECT part, k, v FROM new
         UNION ALL SELECT o.part, o.k, o.v FROM old o WHERE NOT EXISTS (
             SELECT 1 FROM new n WHERE n.k = o.k AND n.part IS NOT DISTINCT FROM o.part)""",
+    "sink_versions_append": """
+        SELECT *, 2 AS version FROM supplier UNION ALL SELECT *, 3 FROM supplier
+        UNION ALL SELECT * REPLACE (s_suppkey + 1000000 AS s_suppkey), 3 FROM supplier""",
+    "sink_versions_upsert": """
+        WITH old AS (
+            SELECT CASE WHEN strftime(o_orderdate, '%Y-%m') >= '1996-01' THEN strftime(o_orderdate, '%Y-%m') END AS month,
+                   o_orderkey AS k, o_totalprice AS v FROM orders),
+        new AS (
+            SELECT CASE WHEN k % 7 <> 0 THEN month ELSE 'none' END AS month, k, v + 1 AS v FROM old
+            WHERE k % 3 = 0 AND (month IS NULL OR month < '1996-07'))
+        SELECT *, 1 AS version FROM old UNION ALL SELECT *, 2 FROM new
+        UNION ALL SELECT *, 2 FROM old o WHERE NOT EXISTS (
+            SELECT 1 FROM new n WHERE n.k = o.k AND n.month IS NOT DISTINCT FROM o.month)""",
 }

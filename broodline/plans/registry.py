@@ -45,12 +45,14 @@ from broodline.plans.scorecards import recent_scorecard
 from broodline.sources.scratch import scratch_path
 from broodline.sources.sinks import (
     upsert_partitions,
+    upsert_version,
     write_append,
     write_overwrite,
     write_sheet,
     write_upsert,
 )
 from broodline.sources.tables import read_sheets, read_table, register_views, union_tagged
+from broodline.sources.versions import APPEND, REPLACE_ALL, read_version, write_version
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -956,6 +958,35 @@ def sink_upsert_null_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("k long, v double, part string").parquet(path)
 
 
+@query("sink_versions_append")
+def sink_versions_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of a table: replaced, appended to, and the one before the last read again."""
+    suppliers = b.table(spark, sf_dir, "supplier")
+    path = scratch_path(spark, "supplier")
+    write_version(suppliers.limit(1), path)
+    write_version(suppliers, path, REPLACE_ALL)
+    write_version(suppliers.withColumn("s_suppkey", F.col("s_suppkey") + 1_000_000), path, APPEND)
+    seen = [read_version(spark, path, n).withColumn("version", F.lit(n)) for n in (2, 3)]
+    return seen[0].unionByName(seen[1])
+
+
+@query("sink_versions_upsert")
+def sink_versions_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of two of the partitions, one of them new; the version before stays readable."""
+    month = F.date_format("o_orderdate", "yyyy-MM")
+    old = b.table(spark, sf_dir, "orders").select(
+        F.when(month >= "1996-01", month).alias("month"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")
+    )
+    changes = old.where((F.col("k") % 3 == 0) & (F.col("month").isNull() | (F.col("month") < "1996-07"))).select(
+        F.when(F.col("k") % 7 != 0, F.col("month")).otherwise("none").alias("month"), "k", (F.col("v") + 1).alias("v")
+    )
+    path = scratch_path(spark, "orders")
+    write_version(old, path, partition_by=["month"])
+    last = upsert_version(spark, path, changes, ["month", "k"], [F.col("v").desc()], ["month"])
+    seen = [read_version(spark, path, n).withColumn("version", F.lit(n)) for n in (1, last)]
+    return seen[0].unionByName(seen[1])
+
+
 def _order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = b.table(spark, sf_dir, "orders")
     return orders.select(F.col("o_orderdate").cast("date").alias("day")).distinct()

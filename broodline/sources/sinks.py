@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broodline.sources.versions import REPLACE_PARTITIONS, partition_key, read_version, versions, write_version
+
 
 def write_overwrite(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), **options: Any
@@ -122,6 +124,31 @@ def upsert_partitions(
     writer.option("partitionOverwriteMode", "dynamic").parquet(target_path)
 
 
+def upsert_version(
+    spark: SparkSession,
+    root: str,
+    changes: DataFrame,
+    keys: Sequence[str],
+    newest_first: Sequence[Column],
+    partition_by: Sequence[str],
+) -> int:
+    """Upsert into a versioned table and return the new version's number.
+
+    Only partitions with a change are read and written; the others keep their
+    files. Stopped at any point, the table keeps its old version, which also
+    stays readable beside the new one. The partition columns must be among the
+    keys. The touched partitions, not their rows, are listed in the driver.
+    """
+    if not set(partition_by) <= set(keys):
+        raise ValueError("partition columns must be part of the key")
+    base = versions(root)[-1]
+    marks = changes.select(partition_key(partition_by).alias("mark")).distinct()
+    touched = {r["mark"] for r in marks.toLocalIterator()}
+    target = read_version(spark, root, base, touched)
+    merged = merge_upsert(target, changes, keys, newest_first)
+    return write_version(merged, root, REPLACE_PARTITIONS, partition_by, base)
+
+
 def _matching(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Semi or anti join in which NULL keys match each other."""
     marked = {name: f"__other_{name}" for name in keys}
