@@ -1,11 +1,10 @@
 """Table profile as a DataFrame of facts: counts, duplicates, NULLs, small domains.
 
-Duplicates, NULL counts and approximate distinct counts are an aggregation each,
-with a single row as result. Exact distinct values are counted
-only for columns that can pass the threshold: with fewer than ``m`` distinct
-values the HyperLogLog estimate stays in its linear-counting range close to the
-true count, so a generous margin on the estimate never drops a qualifying column
-and keeps wide or unique columns (whole texts, ids) out of the shuffle.
+The whole report takes two scans: one for the duplicates, one for all other facts
+(``profile_state``). Listed alone, distinct values are counted only for columns that
+pass the threshold: a theta sketch of at least that size counts exactly up to it and
+never reports fewer values than it holds, so the choice is the one an exact count
+would make, and wide or unique columns (whole texts, ids) stay out of the shuffle.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broodline.operators.profile_state import merge_states, profile_state, state_report, theta_count
+
 # Fixed value: text columns with fewer distinct values than this are listed.
 SMALL_DOMAIN = 13
 
@@ -76,7 +77,7 @@ def small_domains(df: DataFrame, below: Mapping[str, int]) -> DataFrame:
             [], "column string, n_distinct bigint, values string"
         )
     estimates = [
-        F.when(F.approx_count_distinct(_column(name)) < 2 * limit + 8, F.lit(name))
+        F.when(theta_count(_column(name).cast("string"), max(4, limit.bit_length())) < limit, F.lit(name))
         for name, limit in below.items()
     ]
     candidates = df.agg(F.array_compact(F.array(*estimates)).alias("c")).scalar()
@@ -128,28 +129,19 @@ def profile(df: DataFrame, digest: bool = True) -> DataFrame:
         )
     )
     column = F.col("column")
-    nulls = null_counts(df).select(
-        F.inline(
-            F.array(
-                _fact("nulls", "null_count", F.col("null_count"), column),
-                _fact("nulls", "null_pct", F.col("null_pct"), column),
-            )
-        )
-    )
     texts, numbers = text_columns(df), numeric_columns(df)
-    limits = dict.fromkeys(texts, SMALL_DOMAIN) | dict.fromkeys(numbers, 3)
+    report = state_report(merge_states(profile_state(df)), SMALL_DOMAIN)
     is_text = column.isin(texts)
     section = F.when(is_text, "low_cardinality").otherwise("boolean_candidates")
-    listed = (
-        small_domains(df, limits)
-        .where(is_text | (F.col("n_distinct") == 2))
-        .select(
-            F.inline(
-                F.array(_fact(section, "n_distinct", F.col("n_distinct"), column, F.col("values")))
-            )
+    shown = F.col("listing").isNotNull() & (is_text | (column.isin(numbers) & (F.col("n_distinct") == 2)))
+    facts = F.array_compact(
+        F.array(
+            F.when(F.col("null_count") > 0, _fact("nulls", "null_count", F.col("null_count"), column)),
+            F.when(F.col("null_count") > 0, _fact("nulls", "null_pct", F.col("null_pct"), column)),
+            F.when(shown, _fact(section, "n_distinct", F.col("n_distinct"), column, F.col("listing"))),
         )
     )
-    return whole.unionByName(nulls).unionByName(listed)
+    return whole.unionByName(report.select(F.inline(facts)))
 
 
 def _fact(

@@ -881,4 +881,13 @@ ON t = array_to_string(list_sort(string_split(trim(lower(regexp_replace(p_name,
         SELECT *, 1 AS version FROM old UNION ALL SELECT *, 2 FROM new
         UNION ALL SELECT *, 2 FROM old o WHERE NOT EXISTS (
             SELECT 1 FROM new n WHERE n.k = o.k AND n.month IS NOT DISTINCT FROM o.month)""",
+    "profile_merged": f"WITH {DOCS} " + " UNION ALL ".join(
+        f"""SELECT '{c}' AS column, count(*) AS row_count, count(*) - count({c}) AS null_count,
+            round(100.0 * (count(*) - count({c})) / count(*), 3) AS null_pct,
+            CASE WHEN count(DISTINCT {c}) < 4096 THEN count(DISTINCT {c}) END AS n_distinct,
+            CASE WHEN count(DISTINCT {c}) BETWEEN 1 AND 12
+                THEN string_agg(DISTINCT CAST({c} AS VARCHAR), ', ' ORDER BY CAST({c} AS VARCHAR)) END AS listing,
+            CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM docs"""
+        for c in ("doc_id", "text", "lang", "n_chars", "quality", "toxic")
+    ),
 }

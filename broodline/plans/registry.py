@@ -21,6 +21,7 @@ from broodline.functions.text import (
     to_number,
 )
 from broodline.operators import profile as facts
+from broodline.operators import profile_state as states
 from broodline.operators.aggregate import family_columns, one_hot, row_sums, used_families
 from broodline.operators.association import correlation_report
 from broodline.operators.cleanse import CleanseRules, cleanse
@@ -846,6 +847,19 @@ def profile_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.profile(b.labelled_documents(spark, sf_dir))
 
 
+@query("profile_merged")
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of a table from stored states: of half of its sources first, of the others later."""
+    docs = b.labelled_documents(spark, sf_dir)
+    early = F.coalesce(F.pmod(F.xxhash64("source"), F.lit(2)) == 0, F.lit(True))
+    path = scratch_path(spark, "profile")
+    write_version(states.profile_state(docs.where(early), ["source"]), path)
+    write_version(states.profile_state(docs.where(~early), ["source"]), path, APPEND)
+    report = states.state_report(states.merge_states(read_version(spark, path)))
+    count = F.when(F.col("is_exact"), F.col("n_distinct")).alias("n_distinct")
+    return report.select("column", "row_count", "null_count", "null_pct", count, "listing", "least", "greatest")
+
+
 @query("profile_duplicates")
 def profile_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.duplicate_rows(b.table(spark, sf_dir, "documents").select("lang", "source"))
