@@ -229,7 +229,8 @@ def test_decontamination_finds_reordered_passages(spark):
     for block in (decontaminate.BLOCK_BYTES, 200):
         found = decontaminate.contaminated_pairs(docs, items, block_bytes=block)
         assert rows(found.select("doc_id", "item_id", F.round("coverage", 3), "tiles")) == sorted(
-            [(1, 10, 1.0, 1), (2, 10, 1.0, 2), (4, 10, 0.975, 2), (None, 10, 1.0, 1)], key=repr)
+            [(1, 10, 1.0, 1), (2, 10, 1.0, 2), (4, 10, 0.975, 2), (None, 10, 1.0, 1),
+             *((d, 11, 1.0, 1) for d in (1, 2, 3, 4, None))], key=repr)
     assert decontaminate.contaminated_pairs(nothing(spark), items).collect() == []
     assert decontaminate.contaminated_pairs(docs, items.limit(0)).collect() == []
 
