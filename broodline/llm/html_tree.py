@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 RAW = ("script", "style", "textarea", "noscript", "template", "iframe", "svg", "xmp")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    r"|<svg\b[^>]*+(?<=/)>"  # closed by its own slash
     r"|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<[!?][^>]*+(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -47,25 +48,26 @@ class Node:
     children: list[Node] = field(default_factory=list)
     text: str = ""
     hidden: bool = False
+    local: bool = False  # a link into the page itself
 
     @property
     def key(self) -> str:
         return f"{self.tag}.{self.names}" if self.names else self.tag
 
 
-def attributes(rest: str) -> tuple[str, bool]:
-    """Class, id and role as one string without digits, and whether the element is hidden."""
+def attributes(rest: str) -> tuple[str, bool, bool]:
+    """Class, id and role as one string without digits; whether the element is hidden, or links into its own page."""
     if not rest.strip(" /\n\t"):
-        return "", False
+        return "", False, False
     found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in _ATTRIBUTE.finditer(rest)}
     names = " ".join(found[a] for a in ("class", "id", "role") if found.get(a))
     style = found.get("style", "").replace(" ", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in style
-    return " ".join(re.sub(r"\d+", "", names).split()), hidden
+    return " ".join(re.sub(r"\d+", "", names).split()), hidden, found.get("href", "").startswith("#")
 
 
 def parse(html: str) -> Node:
-    """The tree of a page; unclosed, crossed and cut-off markup never fails."""
+    """The tree of a page; unclosed, crossed and cut-off markup never fails. It may be as deep as the page is long."""
     root = Node("#root")
     stack = [root]
 
@@ -100,8 +102,8 @@ def parse(html: str) -> Node:
             close(("p",), ("button", "td", "th", "table", "li", "div", "section", "article", "main"))
         if tag in _ENDS:
             close(*_ENDS[tag])
-        names, hidden = attributes(m["rest"] or "")
-        node = Node(tag, names, hidden=hidden)
+        names, hidden, local = attributes(m["rest"] or "")
+        node = Node(tag, names, hidden=hidden, local=local)
         stack[-1].children.append(node)
         if tag not in VOID and not (m["rest"] or "").rstrip().endswith("/"):
             stack.append(node)

@@ -435,5 +435,5 @@ def test_copies_of_a_page_take_one_place_of_the_choice(spark):
     found = html_extract.extract_main_text(df).collect()
     assert len(found) == len(data)
     assert {r["text"] for r in found} == {f"Text {k} of the page." for k in range(4)}
-    wrappers = html_extract.host_wrappers(df, "url", "html", 3).collect()
-    assert [json.loads(r["wrapper"])[3] for r in wrappers] == [3]
+    wrappers = html_extract.layout_wrappers(df, "url", "html").collect()
+    assert [len(html_extract.decoded(r["wrapper"])[html_extract.MARKS]) for r in wrappers] == [3]
