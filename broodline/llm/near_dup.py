@@ -4,7 +4,10 @@ Each text has two small collections of bundles of minhashes. A table key is one
 bundle of the first with one of the second, so ``m`` bundles in each give ``m``
 times ``m`` tables for the minhashes of ``2 m``. A key can only be shared where
 both of its bundles are, so bundles nobody shares are left out before keys are
-formed. Rows sharing a key form candidate groups; within a group the shingle
+formed. Rows sharing a key form candidate groups. Large groups are sieved first: texts
+of one template share keys by chance though they are far from alike, and would be
+tied together, so their members are compared by one byte of every minhash and the group
+falls apart into those that agree often enough. Within a group the shingle
 sets themselves decide, tile by tile, and each tile returns only the links that
 join its members, not its pairs.
 
@@ -23,6 +26,7 @@ their texts link; long texts are used whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +45,12 @@ BUNDLE = 3
 MISSED = 5e-4
 #: Sets of one tile; two tiles meet in one group.
 TILE = 64
+#: The share of pairs at exactly the threshold whose minhashes may agree too rarely for the sieve.
+SIEVED = 1e-4
+#: Minhashes that the sieve compares, those of the bundles among them.
+SIEVE_MINHASHES = 96
+#: Members of one tile of the sieve.
+SIEVE_TILE = 4096
 #: Bits of the bitmap of candidate ids, as a power of two.
 MEMBER_BITS = 25
 
@@ -54,6 +64,21 @@ def bundles_needed(threshold: float) -> int:
     return count
 
 
+def sieve_minhashes(bundles: int) -> int:
+    """Minhashes with a byte of their own: all of the bundles, and more where those are few."""
+    return max(SIEVE_MINHASHES, 2 * bundles * BUNDLE)
+
+
+def agreements_needed(threshold: float, minhashes: int) -> int:
+    """Minhashes that two texts at the threshold have in common but for a share of ``SIEVED``."""
+    missed, count = 0.0, 0
+    while True:
+        missed += math.comb(minhashes, count) * threshold**count * (1 - threshold) ** (minhashes - count)
+        if missed > SIEVED:
+            return count
+        count += 1
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all word shingles and the first one of each row (one more than rows)."""
     starts, _, hashes = tokens(ascii_lower(data), offsets, PLAIN_WORDS)
@@ -81,7 +106,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
 
 
 def signature_columns(part: pa.Array, words: int, count: int) -> list[pa.Array]:
-    """n, digest and the bundles of both collections of every row."""
+    """n, digest, the bundles of both collections and a byte of each minhash of every row."""
     values, begins = shingles(*utf8(part), words)
     rows = len(part)
     sizes = np.zeros(rows, np.int64)
@@ -94,7 +119,9 @@ def signature_columns(part: pa.Array, words: int, count: int) -> list[pa.Array]:
             digests[row] = np.array([len(own), *sums], U64).tobytes()
     filled = np.flatnonzero(sizes)
     out = np.zeros((2 * count, rows), U64)
-    draws = mix(np.arange(1, 2 * count * BUNDLE + 1, dtype=U64))
+    minhashes = sieve_minhashes(count)
+    heads = np.zeros((rows, minhashes), np.uint8)
+    draws = mix(np.arange(1, minhashes + 1, dtype=U64))
     if len(filled):
         at = begins[:-1][filled]
         for collection in range(2 * count):
@@ -103,27 +130,31 @@ def signature_columns(part: pa.Array, words: int, count: int) -> list[pa.Array]:
                 draw = draws[collection * BUNDLE + turn]
                 least = np.minimum.reduceat((values ^ draw) * (draw | U64(1)), at)
                 key = mix(key + least)
+                heads[filled, collection * BUNDLE + turn] = mix(least) >> U64(56)
             out[collection, filled] = key
+        for place in range(2 * count * BUNDLE, minhashes):
+            least = np.minimum.reduceat((values ^ draws[place]) * (draws[place] | U64(1)), at)
+            heads[filled, place] = mix(least) >> U64(56)
     keys = out.view(np.int64)
     ends = pa.array(np.arange(rows + 1) * count, pa.int32())
     sides = [
         pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(side.T).reshape(-1)))
         for side in (keys[:count], keys[count:])
     ]
-    return [pa.array(sizes), pa.array(digests, pa.binary()), *sides]
+    return [pa.array(sizes), pa.array(digests, pa.binary()), *sides, pa.array([h.tobytes() for h in heads], pa.binary())]
 
 
 def signatures(docs: DataFrame, words: int, threshold: float, key: str, text: str) -> DataFrame:
-    """``doc, n, digest, a, b`` of every row."""
+    """``doc, n, digest, a, b, heads`` of every row."""
     count = bundles_needed(threshold)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         columns = signature_columns(batch.column(1), words, count)
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "n", "digest", "a", "b"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc", "n", "digest", "a", "b", "heads"])
 
     chosen = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     return per_batch(
-        chosen, work, "doc long, n long, digest binary, a array<long>, b array<long>"
+        chosen, work, "doc long, n long, digest binary, a array<long>, b array<long>, heads binary"
     )
 
 
@@ -175,6 +206,64 @@ def groups_in_order(
         yield pa.Table.from_batches(held)
 
 
+def agreeing(heads: np.ndarray, side: np.ndarray, needed: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of rows that agree in ``needed`` places or more.
+
+    ``side`` parts the rows in two; with both sides, only pairs across count. Each
+    row reached is compared with the rows not reached yet, all at once.
+    """
+    across = side.any() and not side.all()
+    open_ = np.ones(len(heads), bool)
+    out = []
+    for start in range(len(heads)):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        todo = [start]
+        while todo:
+            at = todo.pop()
+            others = np.flatnonzero(open_ & (side != side[at]) if across else open_)
+            near = others[np.count_nonzero(heads[others] == heads[at], axis=1) >= needed]
+            open_[near] = False
+            found = near.tolist()
+            out += [(at, k) for k in found]
+            todo += found
+    return out
+
+
+def sieved(groups: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """``node, component`` again, the components of more than ``TILE`` nodes split by agreement of minhashes.
+
+    Nodes of a large component are dealt into tiles, every two of which meet once;
+    a task holds two tiles of minhash bytes. Nodes left alone drop out.
+    """
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sized = settled(groups.join(sizes.hint("merge"), "component"), "groups")
+    large = sized.where(F.col("size") > TILE).withColumn("tiles", F.ceil(F.col("size") / SIEVE_TILE).cast("int"))
+    rows = large.join(reps.select(F.col("rep").alias("node"), "heads").hint("merge"), "node")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    met = rows.withColumn("other", other).select(
+        "node", "component", F.least("tile", "other").alias("tile_l"), F.greatest("tile", "other").alias("tile_r"), "tile", "heads"
+    )
+    keys = ["component", "tile_l", "tile_r"]
+    ordered = spread(met, *keys).sortWithinPartitions(*keys, "node")
+    needed = agreements_needed(threshold, sieve_minhashes(bundles_needed(threshold)))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_in_order(batches, keys):
+            nodes = group.column("node").to_numpy()
+            heads = np.frombuffer(b"".join(group.column("heads").to_pylist()), np.uint8).reshape(len(nodes), -1)
+            side = group.column("tile").to_numpy() != group.column("tile_l")[0].as_py()
+            found = np.array(agreeing(heads, side, needed), np.int64).reshape(-1, 2)
+            if len(found):
+                columns = [pa.array(nodes[found[:, 0]]), pa.array(nodes[found[:, 1]])]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    split = connected_components(ordered.mapInArrow(judge, "a long, b long"))
+    return sized.where(F.col("size") <= TILE).select("node", "component").unionByName(split.select("node", "component"))
+
+
 def links_within(
     ids: list[int], sets: list[np.ndarray], side: np.ndarray, percent: int
 ) -> list[tuple[int, int]]:
@@ -316,10 +405,10 @@ def near_duplicates(
     signed = settled(signatures(docs, words, percent / 100, key, text), "signatures")
     usable = signed.where(F.col("doc").isNotNull() & (F.col("n") > 0))
     reps = usable.groupBy("digest").agg(
-        F.min("doc").alias("rep"), F.any_value("a").alias("a"), F.any_value("b").alias("b")
+        F.min("doc").alias("rep"), *[F.any_value(c).alias(c) for c in ("a", "b", "heads")]
     )
     reps = settled(reps, "representatives")
-    groups = connected_components(candidate_edges(reps))
+    groups = settled(sieved(connected_components(candidate_edges(reps)), reps, percent / 100), "sieved")
     sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     grouped = (
         groups.join(sizes.hint("merge"), "component")
