@@ -166,17 +166,18 @@ GROUP = "()"
 def expression_of(tree: Node, mark: int) -> list:
     """A page as an expression with its repeats folded."""
 
-    def build(node: Node) -> Generator:
+    order, built = [tree], {}
+    for node in order:  # parents first
+        order += node.children
+    for node in reversed(order):
         if node.tag == "#text":
             text = plain(node.text)
-            return ["#text", "", text, (mark,), len(text), [], [node]]
-        children = []
-        for child in node.children:
-            if child.tag != "#text" or not child.text.isspace():
-                children.append((yield build(child)))
-        return (yield fold([node.key, "", None, (mark,), 0, children, [node]]))
-
-    return run(build(tree))
+            built[id(node)] = ["#text", "", text, (mark,), len(text), [], [node]]
+            continue
+        children = [built[id(c)] for c in node.children if c.tag != "#text" or not c.text.isspace()]
+        whole = [node.key, "", None, (mark,), 0, children, [node]]
+        built[id(node)] = run(fold(whole)) if len(children) > 1 else whole
+    return built[id(tree)]
 
 
 def shape(node: list) -> frozenset:
@@ -206,14 +207,17 @@ def fold(node: list) -> Generator:
     """Merge neighbours, and neighbouring groups of two or three, that repeat."""
     out: list[list] = []
     for child in node[CHILDREN]:
-        if out and repeats(out[-1], child):
-            out[-1] = yield merge(out[-1], child)
+        if out and out[-1][KEY] == child[KEY] and repeats(out[-1], child):
+            out[-1] = merge_flat(out[-1], child) or (yield merge(out[-1], child))
             out[-1][FLAGS] = flags(out[-1][FLAGS], "+")
         else:
             out.append(child)
     for size in (2, 3):
         at = 0
         while at + 2 * size <= len(out):
+            if out[at][KEY] != out[at + size][KEY]:
+                at += 1
+                continue
             first, second = out[at : at + size], out[at + size : at + 2 * size]
             if any(c[KEY] in ("#text", GROUP) for c in first) or not all(map(repeats, first, second)):
                 at += 1
@@ -235,7 +239,7 @@ def group_of(parts: list[list]) -> list:
 
 
 def flags(one: str, other: str) -> str:
-    return "".join(sorted({*one, *other}))
+    return one if one == other or not other else "".join(sorted({*one, *other}))
 
 
 def first_marks(marks) -> tuple:
@@ -243,6 +247,34 @@ def first_marks(marks) -> tuple:
     return tuple(sorted(set(marks))[:SUPPORT])
 
 
+def both_marks(one: list, other: list) -> tuple:
+    return one[MARKS] if one[MARKS] == other[MARKS] else first_marks((*one[MARKS], *other[MARKS]))
+
+
+def merge_flat(one: list, other: list) -> list | None:
+    """:func:`merge` for elements with nothing but a text in them; None for others."""
+    mine, theirs = one[CHILDREN], other[CHILDREN]
+    if len(mine) > 1 or len(mine) != len(theirs):
+        return None
+    inner = []
+    if mine:
+        a, b = mine[0], theirs[0]
+        if a[KEY] != "#text" or b[KEY] != "#text":
+            return None
+        inner = [merged(a, b, [])]
+    return merged(one, other, inner)
+
+
+def merged(one: list, other: list, children: list[list]) -> list:
+    """What two nodes of one key have in common, over the given children; ``one`` is used up."""
+    text = one[TEXT] if one[TEXT] == other[TEXT] else None
+    nodes = one[NODES]
+    nodes += other[NODES]
+    return [
+        one[KEY], flags(one[FLAGS], other[FLAGS]), text, both_marks(one, other), one[CHARS] + other[CHARS], children, nodes,
+    ]
+
+
 def aligned(one: list[list], other: list[list]) -> list[tuple[int, int]]:
     """Pairs of siblings of one key, in order: as many and as much alike as can be."""
     if [c[KEY] for c in one] == [c[KEY] for c in other]:
@@ -286,12 +318,10 @@ def merge(one: list, other: list) -> Generator:
             part[FLAGS] = flags(part[FLAGS], "?")
             children.append(part)
         if a < len(mine):
-            children.append((yield merge(mine[a], theirs[b])))
+            children.append(merge_flat(mine[a], theirs[b]) or (yield merge(mine[a], theirs[b])))
         i, j = a + 1, b + 1
-    text = one[TEXT] if one[TEXT] == other[TEXT] else None
-    marks = first_marks((*one[MARKS], *other[MARKS]))
-    node = [one[KEY], flags(one[FLAGS], other[FLAGS]), text, marks, one[CHARS] + other[CHARS], children, one[NODES] + other[NODES]]
-    return (yield fold(node))
+    node = merged(one, other, children)
+    return (yield fold(node)) if len(children) > 1 else node
 
 
 def mark_of(page: str) -> int:
@@ -577,7 +607,7 @@ def layout_wrappers(pages: DataFrame, url: str, html: str) -> DataFrame:
             yield sent(held, salt)
 
     def join(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-        def merged(group: pd.DataFrame) -> pd.DataFrame:
+        def joined(group: pd.DataFrame) -> pd.DataFrame:
             whole = folded([decoded(w) for w in sorted(group["wrapper"])])
             if last:
                 decide(whole)
@@ -585,7 +615,7 @@ def layout_wrappers(pages: DataFrame, url: str, html: str) -> DataFrame:
             row["wrapper"] = [encoded(whole)]
             return row if not last or len(whole[MARKS]) >= SUPPORT else row.iloc[:0]
 
-        return merged
+        return joined
 
     partial = rows.mapInArrow(infer, schema)
     salted = partial.groupBy("host", "layout", "salt").applyInPandas(join(False), schema)
