@@ -34,6 +34,43 @@ def one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str) -> D
     )
 
 
+def frequent_values(df: DataFrame, column: str, most: int = 100) -> list[tuple[str, int]]:
+    """At most ``most`` values with their exact counts, the most frequent first, ties by value.
+
+    A sketch names candidates and a second scan counts these, so the driver sees no
+    more than twice ``most`` values however many there are. With at most
+    ``most`` values all are listed; beyond, each value that holds more than a
+    ``most``-th of the rows is. NULL is no value.
+    """
+    places = 1 << (8 * most - 1).bit_length()
+    text = F.col(f"`{column}`").cast("string")
+    found = df.where(text.isNotNull()).agg(
+        F.call_function("approx_top_k", text, F.lit(2 * most), F.lit(places)).alias("found")
+    )
+    names = [r["item"] for r in (found.first()[0] or [])]
+    counted = df.where(text.isin(names)).groupBy(text.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.orderBy(F.desc("n"), "value").limit(most).collect()
+    return [(r["value"], r["n"]) for r in rows]
+
+
+def one_hot_found(
+    df: DataFrame, column: str, keys: Sequence[str], prefix: str, most: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """0/1 columns for the values that are found, and the rows of all others in long form.
+
+    The first table is ``df`` with a column ``prefix_value`` for each frequent value
+    (see :func:`frequent_values`), by value, and ``prefix__rest``, 1 where the
+    value has no column of its own. The second has ``keys`` and ``value`` of just
+    these rows, so no value vanishes; it is empty where all have a column.
+    """
+    names = sorted(name for name, _ in frequent_values(df, column, most))
+    text = F.col(f"`{column}`").cast("string")
+    unlisted = text.isNotNull() & ~F.coalesce(text.isin(names), F.lit(False))
+    flags = {f"{prefix}_{v}": F.coalesce((text == v).cast("int"), F.lit(0)) for v in names}
+    wide = df.withColumns(flags | {f"{prefix}__rest": unlisted.cast("int")})
+    return wide, df.where(unlisted).select(*keys, text.alias("value"))
+
+
 def family_columns(columns: Iterable[str], days: Iterable[int]) -> dict[str, list[str]]:
     """Group ``{brand}_{day}`` and ``{phase}_{brand}_{day}`` columns by family.
 

@@ -890,4 +890,33 @@ ON t = array_to_string(list_sort(string_split(trim(lower(regexp_replace(p_name,
             CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM docs"""
         for c in ("doc_id", "text", "lang", "n_chars", "quality", "toxic")
     ),
+    "scan_totals_hot_groups": """
+        SELECT o_orderkey, o_orderstatus,
+               CAST(sum(a) OVER w AS DOUBLE) AS so_far,
+               CAST(sum(a) FILTER (WHERE a > 150000) OVER w AS DOUBLE)
+                   / nullif(count(*) FILTER (WHERE a > 150000) OVER w, 0) AS dear_mean,
+               CAST(min(a) OVER w AS DOUBLE) AS least,
+               CAST(max(a) OVER w AS DOUBLE) AS greatest
+        FROM (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS a FROM orders)
+        WINDOW w AS (PARTITION BY o_orderstatus ORDER BY CAST(o_orderdate AS DATE))""",
+    "scan_delta_hot_groups": """
+        SELECT o_orderkey, o_orderstatus, CAST(a - lag(a) OVER w AS DOUBLE) AS change,
+               CAST(sum(a) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE) AS earlier
+        FROM (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS a FROM orders)
+        WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey)""",
+    "one_hot_found": """
+        SELECT p_partkey, p_type, CAST(p_type = 'ECONOMY' AS INTEGER) AS type_ECONOMY,
+               CAST(p_type = 'LARGE' AS INTEGER) AS type_LARGE,
+               CAST(p_type = 'MEDIUM' AS INTEGER) AS type_MEDIUM,
+               CAST(p_type = 'PROMO' AS INTEGER) AS type_PROMO,
+               CAST(p_type = 'SMALL' AS INTEGER) AS type_SMALL,
+               CAST(p_type = 'STANDARD' AS INTEGER) AS type_STANDARD,
+               0 AS type__rest, CAST(NULL AS VARCHAR) AS rest FROM part""",
+    "one_hot_rest": """
+        SELECT p_partkey, kind, CAST(coalesce(kind = 'even', false) AS INTEGER) AS kind_even,
+               CAST(coalesce(kind = 'third', false) AS INTEGER) AS kind_third,
+               CAST(coalesce(kind NOT IN ('even', 'third'), false) AS INTEGER) AS kind__rest,
+               CASE WHEN kind NOT IN ('even', 'third') THEN kind END AS rest
+        FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'even' WHEN p_partkey % 3 = 0 THEN 'third'
+              WHEN p_partkey % 5 <> 0 THEN p_name END AS kind FROM part)""",
 }

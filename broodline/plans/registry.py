@@ -22,13 +22,15 @@ from broodline.functions.text import (
 )
 from broodline.operators import profile as facts
 from broodline.operators import profile_state as states
-from broodline.operators.aggregate import family_columns, one_hot, row_sums, used_families
+from broodline.operators import scan
+from broodline.operators.aggregate import family_columns, one_hot, one_hot_found, row_sums, used_families
 from broodline.operators.association import correlation_report
 from broodline.operators.cleanse import CleanseRules, cleanse
 from broodline.operators.filters import last_n_days, one_of, within_range
 from broodline.operators.fuzzy import WORD_PART, WORD_SET, fuzzy_topk_join, sorted_words
 from broodline.operators.impute import exact_median, fill_missing, mode_value, present
 from broodline.operators.joins import join_normalized, join_renamed, require_unique
+from broodline.operators.scan import prefix_scan
 from broodline.operators.windows import (
     blocked_delta,
     blocked_running_sum,
@@ -440,6 +442,44 @@ def delta_hot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change.select("o_orderkey", "o_orderstatus", F.col("change").cast("double").alias("change"))
 
 
+def _orders_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return b.table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        "o_orderstatus",
+        F.col("o_orderdate").cast("date").alias("day"),
+        F.col("o_totalprice").cast(b.MONEY).alias("amount"),
+    )
+
+
+@query("scan_totals_hot_groups")
+def scan_totals_hot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sum, conditional mean and extremes per status by day; each group is a third of the table."""
+    dear = F.col("amount") > 150_000
+    found = prefix_scan(
+        _orders_by_status(spark, sf_dir),
+        ["o_orderstatus"],
+        "day",
+        {
+            "so_far": scan.total("amount"),
+            "dear_mean": scan.mean_where("amount", dear),
+            "least": scan.least("amount"),
+            "greatest": scan.greatest("amount"),
+        },
+    )
+    money = ["so_far", "least", "greatest"]
+    return found.select("o_orderkey", "o_orderstatus", "dear_mean", *[F.col(c).cast("double").alias(c) for c in money])
+
+
+@query("scan_delta_hot_groups")
+def scan_delta_hot_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change against the previous order of a status, and the value of all orders before."""
+    orders = _orders_by_status(spark, sf_dir)
+    states = {"previous": scan.last("amount"), "earlier": scan.total("amount")}
+    found = prefix_scan(orders, ["o_orderstatus"], "o_orderkey", states, before=True, unique=True)
+    change = (F.col("amount") - F.col("previous")).cast("double")
+    return found.select("o_orderkey", "o_orderstatus", change.alias("change"), F.col("earlier").cast("double").alias("earlier"))
+
+
 @query("latest_per_cycle")
 def latest_per_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cycles = b.cycle_daily(spark, sf_dir).withColumnRenamed("unit", "unit_name")
@@ -677,6 +717,23 @@ def one_hot_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_hot(b.table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", kinds, "type")
 
 
+@query("one_hot_found")
+def one_hot_found_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns for the kinds that are found; none is named beforehand."""
+    wide, rest = one_hot_found(b.table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", ["p_partkey"], "type")
+    return wide.join(rest.withColumnRenamed("value", "rest"), "p_partkey", "left")
+
+
+@query("one_hot_rest")
+def one_hot_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two kinds hold most parts and get a column, the names of all other parts stay in long form."""
+    key = F.col("p_partkey")
+    kind = F.when(key % 2 == 0, "even").when(key % 3 == 0, "third").when(key % 5 != 0, F.col("p_name"))
+    part = b.table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
+    wide, rest = one_hot_found(part, "kind", ["p_partkey"], "kind", most=2)
+    return wide.join(rest.withColumnRenamed("value", "rest"), "p_partkey", "left")
+
+
 # --- correlation reports -----------------------------------------------------
 
 
