@@ -27,7 +27,31 @@ def brand_and_place(
     outcome_is_fraction: bool = False,
     year_mode: str = "iso",
 ) -> DataFrame:
-    """Correlation of every brand and every ``brand__place`` with the outcome.
+    """Correlation of every brand and every ``brand__place`` with the outcome (see :func:`place_rows`)."""
+    dated = place_rows(df, brand, place, day, outcome, brand_recodes, place_recodes, outcome_is_fraction, year_mode)
+    return indicator_correlation(dated, PLACE_CELL, place_features(), "y")
+
+
+#: What a row of the brand and place report falls under.
+PLACE_CELL = ["brand", "place"]
+
+
+def place_features() -> Column:
+    return F.array("brand", compound("brand", "place", "__"))
+
+
+def place_rows(
+    df: DataFrame,
+    brand: str,
+    place: str,
+    day: str,
+    outcome: str,
+    brand_recodes: Recodes = (),
+    place_recodes: Recodes = (),
+    outcome_is_fraction: bool = False,
+    year_mode: str = "iso",
+) -> DataFrame:
+    """``day, brand, place, y`` with the calendar parts of the day.
 
     A fractional outcome (mortality) is turned into percent and rows above 100
     are left out.
@@ -42,9 +66,7 @@ def brand_and_place(
     if outcome_is_fraction:
         rows = rows.where(F.col("y") <= 100)
     rows = rows.dropna(subset=["brand", "place", "day"])
-    features = F.array("brand", compound("brand", "place", "__"))
-    dated = rows.withColumns(calendar_parts("day", year_mode))
-    return indicator_correlation(dated, ["brand", "place"], features, "y")
+    return rows.withColumns(calendar_parts("day", year_mode))
 
 
 def brand_and_price(

@@ -919,4 +919,9 @@ ON t = array_to_string(list_sort(string_split(trim(lower(regexp_replace(p_name,
                CASE WHEN kind NOT IN ('even', 'third') THEN kind END AS rest
         FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'even' WHEN p_partkey % 3 = 0 THEN 'third'
               WHEN p_partkey % 5 <> 0 THEN p_name END AS kind FROM part)""",
+    "corr_brand_hatchery_by_day": correlations(LINE_MEMBERS, "rows_", "members"),
+    "corr_amount_by_status": """
+        SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean_x, round(avg(l_extendedprice), 6) AS mean_y,
+               round(corr(l_quantity, l_extendedprice), 6) AS r
+        FROM lineitem GROUP BY l_returnflag""",
 }

@@ -22,9 +22,9 @@ from broodline.functions.text import (
 )
 from broodline.operators import profile as facts
 from broodline.operators import profile_state as states
-from broodline.operators import scan
+from broodline.operators import moments, scan
 from broodline.operators.aggregate import family_columns, one_hot, one_hot_found, row_sums, used_families
-from broodline.operators.association import correlation_report
+from broodline.operators.association import BUCKET, correlation_report
 from broodline.operators.cleanse import CleanseRules, cleanse
 from broodline.operators.filters import last_n_days, one_of, within_range
 from broodline.operators.fuzzy import WORD_PART, WORD_SET, fuzzy_topk_join, sorted_words
@@ -42,7 +42,14 @@ from broodline.operators.windows import (
 from broodline.plans import bindings as b
 from broodline.plans import performance_index as pi
 from broodline.plans.age_bands import latest_living, population_by_age_band
-from broodline.plans.brand_reports import brand_and_place, brand_and_price, feed_brands
+from broodline.plans.brand_reports import (
+    PLACE_CELL,
+    brand_and_place,
+    brand_and_price,
+    feed_brands,
+    place_features,
+    place_rows,
+)
 from broodline.plans.intake import intake
 from broodline.plans.scorecards import recent_scorecard
 from broodline.sources.scratch import scratch_path
@@ -743,6 +750,27 @@ def corr_brand_hatchery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brand_and_place(lines, "p_brand", "p_type", "cycle_start", "l_extendedprice")
 
 
+@query("corr_brand_hatchery_by_day")
+def corr_brand_hatchery_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``corr_brand_hatchery``, from cells of single days that two deliveries have stored."""
+    dated = place_rows(b.priced_lines(spark, sf_dir), "p_brand", "p_type", "cycle_start", "l_extendedprice")
+    cells = moments.indicator_cells(dated, PLACE_CELL, "y", [*BUCKET, "day"])
+    path = scratch_path(spark, "cells")
+    early = F.day("day") <= 20
+    write_version(cells.where(early), path)
+    write_version(cells.where(~early), path, APPEND)
+    return moments.cells_correlation(read_version(spark, path), place_features())
+
+
+@query("corr_amount_by_status")
+def corr_amount_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of quantity and price per flag, from states of single ship days."""
+    lines = b.table(spark, sf_dir, "lineitem")
+    daily = moments.pair_moments(lines, ["l_returnflag", "l_shipdate"], "l_quantity", "l_extendedprice")
+    merged = moments.merge_pairs(daily, ["l_returnflag"])
+    return rounded(moments.pair_correlation(merged, 6).select("l_returnflag", "n", "mean_x", "mean_y", "r"))
+
+
 @query("corr_brand_hatchery_mortality")
 def corr_brand_hatchery_mortality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brand_and_place(
