@@ -11,13 +11,14 @@ out anywhere breaks nothing behind it. The result is the number of chained
 matches over the larger number of anchors.
 
 Defined results: a NULL text counts as empty; an empty text has the fingerprint
-``0:``; a text shorter than a k-mer, or without an anchor, has one anchor made of
+``0:0:``; a text shorter than a k-mer, or without an anchor, has one anchor made of
 the whole text; two empty texts are alike (1), an empty and another one are not
 (0); equal texts have equal fingerprints; no part of a text is left out.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -69,14 +70,36 @@ def sketch(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def to_text(hashes: np.ndarray, at: np.ndarray) -> str:
-    """``0:`` and hash and position of each anchor in hexadecimal; no share of the hashes is left out (0 halvings)."""
-    both = np.stack([hashes, np.minimum(at, 2**32 - 1)], axis=1).astype(">u4")
-    return f"0:{both.tobytes().hex()}"
+    """``0:``, the number of anchors, and in base 64 their hashes by position and the steps between positions.
+
+    A step takes seven bits of each byte, the last byte has its high bit set. No share
+    of the hashes is left out (0 halvings).
+    """
+    order = np.argsort(at, kind="stable")
+    steps = np.diff(at[order], prepend=0).astype(np.uint64)
+    sizes = np.maximum(1, np.ceil(np.log2(steps + 1.0) / 7)).astype(np.int64)
+    ends = np.cumsum(sizes)
+    coded = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for byte in range(int(sizes.max()) if len(sizes) else 0):
+        has = sizes > byte
+        coded[ends[has] - sizes[has] + byte] = (steps[has] >> np.uint64(7 * byte)) & np.uint64(127)
+    coded[ends - 1] |= 128
+    body = hashes[order].astype("<u4").tobytes() + coded.tobytes()
+    return f"0:{len(at)}:{base64.b64encode(body).decode()}"
 
 
 def from_text(text: str) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(bytes.fromhex(text.split(":")[1]), ">u4").reshape(-1, 2)
-    return both[:, 0].astype(np.uint32), both[:, 1].astype(np.int64)
+    _, count, body = text.split(":")
+    data = base64.b64decode(body)
+    hashes = np.frombuffer(data, "<u4", int(count))
+    coded = np.frombuffer(data, np.uint8, offset=4 * int(count))
+    ends = np.flatnonzero(coded & 128) + 1
+    starts = np.concatenate(([0], ends))[:-1].astype(np.int64)
+    places = np.arange(len(coded)) - np.repeat(starts, ends - starts)
+    parts = (coded & 127).astype(np.int64) << (7 * places)
+    at = np.cumsum(np.add.reduceat(parts, starts)) if len(ends) else np.zeros(0, np.int64)
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], at[order]
 
 
 def chained(places: np.ndarray) -> int:
@@ -147,7 +170,8 @@ def dealt_in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
     placed = dealt.withColumn("copy", copied_to("ord", "tie")).select(
         F.inline(places), "doc", "text", "ord", "tie"
     )
-    return placed.repartition(max(1, len(heads)), "part").sortWithinPartitions("part", "extra", "ord", "tie")
+    # By number and not by hash, so that no two ranges meet in one task.
+    return placed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "extra", "ord", "tie")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -18,10 +18,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broodline.llm.arrays import code_points, hash_share, per_batch
+from broodline.llm.graph import settled
 from broodline.llm.labels import distinct_texts
 
 #: Hash cells for each n-gram length.
@@ -109,15 +110,50 @@ def group_families(centres: dict[str, np.ndarray]) -> dict[str, list[str]]:
 
 
 def machines(x: np.ndarray, names: np.ndarray) -> list[Machine]:
+    """A plane between every two names, each fitted on the rows of these two alone."""
     found = sorted(set(names))
-    kernel = x @ x.T
     out = []
     for i, first in enumerate(found):
         for second in found[i + 1 :]:
             rows = np.flatnonzero((names == first) | (names == second))
             side = np.where(names[rows] == first, 1.0, -1.0)
-            plane = fit_plane(x[rows], kernel[np.ix_(rows, rows)], side)
-            out.append(Machine(first, second, *plane))
+            own = x[rows]
+            out.append(Machine(first, second, *fit_plane(own, own @ own.T, side)))
+    return out
+
+
+def vectors(rows: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(r, np.float16) for r in rows]).astype(np.float32)
+
+
+def language_centres(rows: DataFrame) -> dict[str, np.ndarray]:
+    """The mean vector of each language, of length 1; one row for each reaches the driver."""
+
+    def mean(group: pa.Table) -> pa.Table:
+        centre = vectors(sorted(group.column("row").to_pylist())).mean(axis=0)
+        centre = (centre / np.linalg.norm(centre)).astype(np.float32).tobytes()
+        return pa.table({"lang": group.column("lang").slice(0, 1), "centre": pa.array([centre], pa.binary())})
+
+    found = rows.groupBy("lang").applyInArrow(mean, "lang string, centre binary").collect()
+    return {r["lang"]: np.frombuffer(bytes(r["centre"]), np.float32) for r in sorted(found)}
+
+
+def fitted_machines(rows: DataFrame, name: str) -> dict[str, list[Machine]]:
+    """For each ``task`` of the rows, machines between the values of ``name``; a task is one group of rows."""
+    kinds = {"task": pa.string(), "first": pa.string(), "second": pa.string(), "weights": pa.binary(), "bias": pa.float64()}
+
+    def fit(group: pa.Table) -> pa.Table:
+        own = sorted(zip(group.column(name).to_pylist(), group.column("row").to_pylist(), strict=True))
+        found = machines(vectors([r for _, r in own]), np.array([n for n, _ in own]))
+        task = group.column("task")[0].as_py()
+        planes = [(task, str(m.first), str(m.second), m.weights.astype(np.float32).tobytes(), float(m.bias)) for m in found]
+        return pa.table({n: pa.array([p[k] for p in planes], kind) for k, (n, kind) in enumerate(kinds.items())})
+
+    schema = "task string, first string, second string, weights binary, bias double"
+    out: dict[str, list[Machine]] = {}
+    for r in sorted(rows.groupBy("task").applyInArrow(fit, schema).collect(), key=lambda r: (r["task"], r["first"], r["second"])):
+        weights = np.frombuffer(bytes(r["weights"]), np.float32)
+        out.setdefault(r["task"], []).append(Machine(r["first"], r["second"], weights, r["bias"]))
     return out
 
 
@@ -133,7 +169,9 @@ def fit_language_model(
     Only rows for which ``use`` holds are learnt from. The number of rows of each
     language is counted first, so the sample stays the same size on any input.
     Rows are chosen by a hash of the text and each text counts once, whatever
-    its id.
+    its id. The machines of a family are fitted in one task from the rows of
+    its languages, those between families from up to four times
+    ``rows_per_language`` rows of each; the driver holds centres and planes only.
     """
     labelled = docs.where(use & F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).agg(F.count(F.lit(1))).collect()}
@@ -155,22 +193,20 @@ def fit_language_model(
             ["lang", "row", "letters"],
         )
 
-    rows = per_batch(sample, work, "lang string, row binary, letters boolean").where("letters")
-    rows = sorted(((r["lang"], bytes(r["row"])) for r in rows.collect()))
-    if not rows:
+    found = per_batch(sample, work, "lang string, row binary, letters boolean").where("letters")
+    rows = settled(found.select("lang", "row"), "language-rows")
+    centres = language_centres(rows)
+    if not centres:
         return LanguageModel()
-    names = np.array([r[0] for r in rows])
-    x = np.stack([np.frombuffer(r[1], np.float16) for r in rows]).astype(np.float32)
-    centres = {name: x[names == name].mean(axis=0) for name in sorted(set(names))}
-    centres = {name: c / np.linalg.norm(c) for name, c in centres.items()}
     families = group_families(centres)
     family_of = {name: family for family, members in families.items() for name in members}
-    model = LanguageModel(families)
-    model.between = machines(x, np.array([family_of[n] for n in names]))
-    for family, members in families.items():
-        rows_in = np.isin(names, members)
-        model.within[family] = machines(x[rows_in], names[rows_in])
-    return model
+    family = F.create_map(*[F.lit(x) for pair in family_of.items() for x in pair])[F.col("lang")]
+    placed = rows.withColumn("family", family)
+    place = F.row_number().over(Window.partitionBy("family").orderBy(F.xxhash64("row", F.lit("family")), "row"))
+    few = placed.withColumn("place", place).where(F.col("place") <= 4 * rows_per_language)
+    between = fitted_machines(few.select("row", "family", F.lit("").alias("task")), "family")
+    within = fitted_machines(placed.select("row", "lang", F.col("family").alias("task")), "lang")
+    return LanguageModel(families, between.get("", []), {name: within.get(name, []) for name in families})
 
 
 def vote(x: np.ndarray, names: list[str], planes: list[Machine]) -> tuple[np.ndarray, np.ndarray]:

@@ -44,6 +44,8 @@ HEAD = "<IBII"
 FOOT = "<QQQQ"
 #: Rows of documents that one file takes, roughly.
 ROWS_PER_FILE = 20_000
+#: Ids after which a file is closed and the next begun; only a single longer document makes a longer file.
+IDS_PER_FILE = 32 << 20
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
@@ -192,43 +194,52 @@ def write_token_files(
 ) -> DataFrame:
     """Write the files below ``folder``; returns ``path, first_id, order, n_docs, n_tokens`` of each.
 
-    Documents are dealt by ranges of ids and sorted within a file; ``order`` is the
-    place of the file.
+    Documents are dealt by ranges of ids, and of text hashes where very many have one id
+    or none, and sorted; a range is cut into files of ``IDS_PER_FILE`` ids. ``order``
+    puts the files in the order of their documents.
     """
     chosen = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     rows = chosen.select("doc").count()
     files = max(1, -(-rows // ROWS_PER_FILE), min(rows, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    ordered = chosen.repartitionByRange(files, "doc").sortWithinPartitions("doc", F.xxhash64("text"))
+    chosen = chosen.withColumn("tie", F.xxhash64("text"))
+    ordered = chosen.repartitionByRange(files, "doc", "tie").sortWithinPartitions("doc", "tie")
     ordered = ordered.withColumn("part", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        writer = name = None
+        writer, rolled = None, 0
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            sink.close()
+            store.move(aside, name)
+            return pa.RecordBatch.from_pylist(
+                [{"path": name.rsplit("/", 1)[1], "first_id": first, "order": number * 1_000_000 + rolled,
+                  "n_docs": len(writer.docs), "n_tokens": writer.ids}],
+                schema=pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("order", pa.int64()),
+                                  ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
+            )
+
         for batch in batches:
             for part in slices(batch):
-                if writer is None:
-                    number, first = part.column("part")[0].as_py(), part.column("doc")[0].as_py()
-                    name = f"{base}/ids-{number:07d}.pfor"
-                    store.create_dir(base, recursive=True)
-                    aside = f"{base}/_{uuid.uuid4().hex}"
-                    sink = store.open_output_stream(aside)
-                    writer = FileWriter(sink)
                 ids, begins = encoder(tokenizer).encode(part.column("text"))
                 for row, doc in enumerate(part.column("doc").to_pylist()):
+                    if writer is not None and writer.ids >= IDS_PER_FILE:
+                        yield closed()
+                        writer, rolled = None, rolled + 1
+                    if writer is None:
+                        number, first = part.column("part")[0].as_py(), doc
+                        name = f"{base}/ids-{number:07d}-{rolled:06d}.pfor"
+                        store.create_dir(base, recursive=True)
+                        aside = f"{base}/_{uuid.uuid4().hex}"
+                        sink = store.open_output_stream(aside)
+                        writer = FileWriter(sink)
                     writer.add(doc, np.append(ids[begins[row] : begins[row + 1]], np.uint32(closing)).astype("<u4"))
         if writer is not None:
-            writer.close()
-            sink.close()
-            store.move(aside, name)
-            yield pa.RecordBatch.from_pylist(
-                [{"path": name.rsplit("/", 1)[1], "first_id": first, "order": number,
-                  "n_docs": len(writer.docs), "n_tokens": writer.ids}],
-                schema=pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("order", pa.int32()),
-                                  ("n_docs", pa.int64()), ("n_tokens", pa.int64())]),
-            )
+            yield closed()
 
     manifest = ordered.select("doc", "text", "part").mapInArrow(
-        write, "path string, first_id long, order int, n_docs long, n_tokens long"
+        write, "path string, first_id long, order long, n_docs long, n_tokens long"
     )
     return settled(manifest, "token-manifest")
 
