@@ -924,4 +924,13 @@ ON t = array_to_string(list_sort(string_split(trim(lower(regexp_replace(p_name,
         SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean_x, round(avg(l_extendedprice), 6) AS mean_y,
                round(corr(l_quantity, l_extendedprice), 6) AS r
         FROM lineitem GROUP BY l_returnflag""",
+    "running_avg_colocated": f"""WITH {CYCLE_METRICS}
+        SELECT unit, cycle_start, age, round(harvest_age, 6) AS harvest_age,
+               harvest_daily AS harvest,
+               round(avg(age) FILTER (WHERE harvest_daily > 0)
+                   OVER (PARTITION BY unit, cycle_start ORDER BY age), 6) AS mean_age
+        FROM cycle_metrics""",
+    "join_cycles_colocated": f"""WITH {CYCLE_DAILY}
+        SELECT unit, cycle_start, age, count(*) OVER c AS days, max(age) OVER c AS last_age
+        FROM cycle_daily WINDOW c AS (PARTITION BY unit, cycle_start)""",
 }

@@ -52,6 +52,7 @@ from broodline.plans.brand_reports import (
 )
 from broodline.plans.intake import intake
 from broodline.plans.scorecards import recent_scorecard
+from broodline.sources.bucketed import write_bucketed
 from broodline.sources.scratch import scratch_path
 from broodline.sources.sinks import (
     upsert_partitions,
@@ -413,6 +414,25 @@ def running_avg_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(days.withColumn("mean_age", running_mean_where("age", harvested, window)))
 
 
+@query("running_avg_colocated")
+def running_avg_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``running_avg_filtered``, from a table stored by cycle: its windows need no exchange."""
+    cycles = write_bucketed(b.cycle_daily(spark, sf_dir), pi.CYCLE, 16, ["age"])
+    days = pi.cycle_metrics(cycles).select(*pi.CYCLE_DAY, "harvest_age", F.col("harvest_daily").alias("harvest"))
+    mean = running_mean_where("age", F.col("harvest") > 0, by_age(pi.CYCLE, "age"))
+    return rounded(days.withColumn("mean_age", mean))
+
+
+@query("join_cycles_colocated")
+def join_cycles_colocated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a cycle with the totals of the cycle, both stored by cycle: neither side is exchanged."""
+    cycles = write_bucketed(b.cycle_daily(spark, sf_dir), pi.CYCLE, 16, ["age"])
+    whole = cycles.groupBy(*pi.CYCLE).agg(F.count(F.lit(1)).alias("days"), F.max("age").alias("last_age"))
+    stored = write_bucketed(whole, pi.CYCLE, 16)
+    joined = cycles.hint("merge").join(stored.hint("merge"), pi.CYCLE)
+    return joined.select(*pi.CYCLE_DAY, "days", "last_age")
+
+
 @query("fcr_calc")
 def fcr_calc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metric(spark, sf_dir, "total_bw", "fcr_calc")

@@ -206,3 +206,9 @@ def test_repeated_cycle_days_meet_every_index_of_their_day(spark, inputs):
     day = found.where("unit = 1 AND age = 2").select("bw_actual", "ip").collect()
     assert len(day) == 2
     assert len({r["ip"] for r in day}) == 1 and day[0]["ip"] is not None
+
+
+@pytest.mark.parametrize("key", ["running_avg_colocated", "join_cycles_colocated"])
+def test_tables_stored_by_cycle_need_no_exchange(spark, sf_dir, key):
+    plan = QUERIES[key](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
