@@ -166,7 +166,11 @@ def shared(rows: DataFrame, key: str) -> DataFrame:
 
 
 def candidate_edges(reps: DataFrame) -> DataFrame:
-    """``a, b``: each representative with the least one of every table key it shares."""
+    """``a, b``: edges that tie each representative to the least one of every table key it shares.
+
+    The least ones of a representative, at most one for each table, are tied to the
+    least of them, so a group of copies gives little more than an edge for each member.
+    """
     sides = []
     for side in ("a", "b"):
         rows = reps.select("rep", F.explode(side).alias("key"))
@@ -177,8 +181,10 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     )
     crossed = left.select("rep", F.explode("a").alias("x"), "b").select("rep", "x", F.explode("b").alias("y"))
     tables = crossed.select("rep", F.xxhash64("x", "y").alias("key"))
-    met = shared(tables, "key").where("rep <> centre")
-    return met.select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
+    centres = shared(tables, "key").groupBy("rep").agg(F.collect_set("centre").alias("centres"))
+    least = F.array_min("centres")
+    tied = centres.select(F.explode(F.array_append("centres", F.col("rep"))).alias("a"), least.alias("b"))
+    return tied.where("a <> b").distinct()
 
 
 def groups_in_order(
@@ -269,8 +275,8 @@ def links_within(
 ) -> list[tuple[int, int]]:
     """Links that join the members of one group: a spanning forest of all its links.
 
-    ``side`` parts the members in two; pairs inside side 0 or side 1 were judged
-    elsewhere when both sides occur.
+    ``side`` parts the members in two; where both sides occur, links inside a side are
+    told elsewhere, so only links across that join what those leave apart are returned.
     """
     parent = list(range(len(ids)))
 
@@ -300,14 +306,15 @@ def links_within(
     both = np.rint(both).astype(np.int64)
     union = sizes[:, None] + sizes[None, :] - both
     linked = np.triu(100 * both >= percent * union, 1)
-    if side.any() and not side.all():
-        linked &= side[:, None] != side[None, :]
+    across = side[:, None] != side[None, :] if side.any() and not side.all() else np.ones_like(linked)
     out = []
-    for i, j in zip(*np.nonzero(linked), strict=True):
-        a, b = root(int(i)), root(int(j))
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((ids[i], ids[j]))
+    for told, pairs in ((False, linked & ~across), (True, linked & across)):
+        for i, j in zip(*np.nonzero(pairs), strict=True):
+            a, b = root(int(i)), root(int(j))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                if told:
+                    out.append((ids[i], ids[j]))
     return out
 
 
